@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, sharding, urls
+from . import decontamination, extraction, packing, preferences, quality, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": simhash.op1_simhash,
         "op3_shards": sharding.op3_shards,
+        "op4_extract": extraction.op4_extract,
         "op5_quality": quality.op5_quality,
+        "op6_preferences": preferences.op6_preferences,
         "op7_packing": packing.op7_packing,
         "op8_urls": urls.op8_urls,
+        "op9_decontaminate": decontamination.op9_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_urls": urls.oracle()}
+    return {
+        "op6_preferences": preferences.ORACLE,
+        "op8_urls": urls.oracle(),
+        "op9_decontaminate": decontamination.ORACLE,
+    }
