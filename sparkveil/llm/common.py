@@ -49,13 +49,18 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame,
     placed = cut(df.withColumn("_place", F.monotonically_increasing_id()))
     dealt = placed.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order], F.col("_place"))
     dealt = dealt.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order], F.col("_place"))
-    numbered = cut(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    out, total = start_rows(cut(dealt.withColumn("_at", F.monotonically_increasing_id())), name)
+    return out.drop("_place"), total
+
+
+def start_rows(numbered: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Turn `_at`, a monotonically increasing id in a table that was cut, into the gapless number `name`; and the number of rows."""
     part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r["p"], r["n"]) for r in numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     rows, total = [], 0
-    for p, n in counts:
+    for p, n in counts:  # one row per partition
         rows.append((p, total))
         total += n
-    starts = spark.createDataFrame(rows, "_part long, _start long")  # one row per partition
+    starts = numbered.sparkSession.createDataFrame(rows, "_part long, _start long")
     out = numbered.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    return out.withColumn(name, F.col("_start") + within).drop("_part", "_start", "_at", "_place"), total
+    return out.withColumn(name, F.col("_start") + within).drop("_part", "_start", "_at"), total

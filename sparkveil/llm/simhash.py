@@ -1,15 +1,20 @@
-"""SimHash near-duplicates: 64-bit fingerprints, linked where few bits differ, candidates by pigeonring filtering.
+"""SimHash near-duplicates: fingerprints of 64-bit words, linked where few bits differ, candidates by pigeonring filtering.
 
-A fingerprint's bit is 1 if over half of the text's word shingles have it in their XXH64. Two fingerprints within
-distance t are cut into t + 1 segments on a ring. Some segment then starts a chain in which the first l segments differ
-in l - 1 bits at most, for every l up to t (the pigeonring principle: each prefix stays within its share of the
-budget). So the first segment agrees, and the second differs in one bit at most, which leaves one of its two halves
-untouched. (First segment, one half of the next, ...) is the key under which candidates meet; the rest of the chain is
-checked before the whole distance. A deeper key takes a third segment, cut into three, and so on.
+A fingerprint's bit is 1 if over half of the text's word shingles have it in their XXH64; further words take the bits of
+further mixes of that hash. Two fingerprints are linked if some word differs in `distance` bits at most and all words
+together in `total` bits at most.
+
+A word is cut into distance + 1 segments on a ring. If it differs in t = distance bits at most, some segment starts a chain in
+which the first l segments differ in l - 1 bits at most, for every l up to t (the pigeonring principle: each prefix
+stays within its share of the budget). So the first segment agrees, and the second differs in one bit at most, which leaves
+one of its two halves untouched. (First segment, one half of the next, ...) is the key under which candidates meet; the
+rest of the chain is checked before the whole distance. A deeper key takes a third segment, cut into three, and so on.
 
 Equal fingerprints are one node. Nodes of a key are compared in a stream of rows sorted by key, in which only what ties a
 key's nodes together leaves the task, never all pairs. The nodes of a key with more than `crowd` of them go another,
-exact way: each is noted under all points within distance t/2 of it, and nodes that share a point are linked (t even).
+exact way. For distances up to 4, each is noted under all points within half the distance of its word, and nodes that share a
+point are linked. For greater ones they are dealt into blocks of about `crowd`, and each pair of blocks is compared as
+if it were a key of its own.
 
 Defined results: A-Z is lower-cased, words are runs of anything but the six ASCII blanks; fewer words than a shingle
 make one shingle; a null, empty or blank text has fingerprint zero and is linked like any other; rows with a null id are
@@ -20,6 +25,7 @@ table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from functools import partial
 from itertools import combinations, product
 
@@ -35,37 +41,59 @@ from .components import components
 SHINGLE = 4
 DISTANCE = 4
 CROWD = 2048
+#: The pipeline's: 5-word shingles, two words, either within 8 bits and both within 28, which estimates a similarity of 0.8.
+WIDE = {"shingle": 5, "distance": 8, "words": 2, "total": 28}
 #: From so many fingerprints a key takes in one more segment.
 DEEPER_FROM = 1 << 22
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of a text."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist()
-    starts, ends = [0, *[g + 1 for g in gaps]], [*gaps, len(joined)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 4096):
-        ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
-
-
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _further(hashes: np.ndarray) -> np.ndarray:
+    """Another 64 mixed bits of each hash."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> list[int]:
+    """The words of a text's fingerprint, unsigned."""
+    said = (text or "").encode().lower().split()
+    if not said:
+        return [0] * words
+    joined, digest = b" ".join(said), xxhash.xxh64_intdigest
+    if len(said) <= shingle:
+        hashes = np.array([digest(joined, 42)], np.uint64)
+    else:
+        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist()
+        starts, ends = [0, *[g + 1 for g in gaps]], [*gaps, len(joined)]
+        hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64)
+    out = []
+    for _ in range(words):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 4096):
+            ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]))
+        hashes = _further(hashes)
+    return out
+
+
+def _names(words: int) -> list[str]:
+    return [f"m{k}" for k in range(words)]
+
+
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], names=["doc_id", "mark"])
+        *kept, texts = batch.columns
+        marks = np.array([fingerprint(t.as_py(), shingle, words) for t in texts], np.uint64).reshape(-1, words)
+        yield pa.RecordBatch.from_arrays([*kept, *[pa.array(np.ascontiguousarray(m).view(np.int64)) for m in marks.T]], names=[*batch.schema.names[:-1], *_names(words)])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, mark: the fingerprint as a signed long, of every row."""
-    return docs.select("doc_id", "text").mapInArrow(partial(_fingerprint_batches, shingle=shingle), "doc_id long, mark long")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, kept: dict | None = None) -> DataFrame:
+    """doc_id, further long columns `kept`, and the fingerprint's words m0, m1, ... as signed longs, of every row."""
+    kept = kept or {}
+    fields = ", ".join(f"{m} long" for m in ["doc_id", *kept, *_names(words)])
+    shown = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in kept.items()], "text")
+    return shown.mapInArrow(partial(_fingerprint_batches, shingle=shingle, words=words), fields)
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -111,11 +139,11 @@ def _tie(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = deeper
 
 
-def viable(a: np.ndarray, b: np.ndarray, start: np.ndarray, distance: int) -> np.ndarray:
-    """Positions of the pairs whose chain from segment `start` keeps to its budgets, and so the whole distance."""
+def viable(apart: np.ndarray, start: np.ndarray, distance: int) -> np.ndarray:
+    """Positions of the differing bits whose chain from segment `start` keeps to its budgets, and so the whole distance."""
     ring = segments(distance)
     masks = np.array([((1 << w) - 1) << f for f, w in ring], np.uint64)
-    left, apart, total = np.arange(len(a)), a ^ b, np.zeros(len(a), np.int64)
+    left, total = np.arange(len(apart)), np.zeros(len(apart), np.int64)
     for k in range(len(ring)):
         total = total + np.bitwise_count(apart & masks[(start + k) % len(ring)])
         kept = total <= (distance * (k + 1)) // len(ring)
@@ -123,53 +151,77 @@ def viable(a: np.ndarray, b: np.ndarray, start: np.ndarray, distance: int) -> np
     return left
 
 
-def _ties(keys: np.ndarray, marks: np.ndarray, starts: np.ndarray, width: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by key: pairs of marks that tie together what is linked under a key."""
+@dataclass(frozen=True)
+class Plan:
+    """What the tasks need to compare the rows of a key."""
+
+    distance: int
+    words: int
+    total: int
+    crowd: int
+    #: The bits of a key below its kind.
+    width: int
+    #: Of each kind: the word, and the segment that its chain starts at.
+    kinds: tuple[tuple[int, int], ...]
+
+
+def _ties(keys: np.ndarray, kinds: np.ndarray, marks: np.ndarray, plan: Plan) -> np.ndarray:
+    """Rows sorted by key: for each row the first row that links tie it to."""
     labels, at, step = np.arange(len(keys)), np.arange(len(keys)), 0
-    kinds = starts[keys >> width]
+    word, start = (np.array([k[i] for k in plan.kinds])[kinds] for i in (0, 1))
     while True:
         step += 1
         at = at[at + step < len(keys)]
         at = at[keys[at] == keys[at + step]]
         if not len(at):
-            break
-        close = at[viable(marks[at], marks[at + step], kinds[at], distance)]
-        _tie(labels, close, close + step)
-    tied = np.flatnonzero(labels != np.arange(len(keys)))
-    return marks[labels[tied]], marks[tied]
-
-
-def _tie_batches(batches: Iterator[pa.RecordBatch], starts: list[int], width: int, distance: int, crowd: int) -> Iterator[pa.RecordBatch]:
-    first = np.array(starts)
-    held = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    crowded = None  # the key whose nodes pass on as they come
-
-    def out(u: np.ndarray, v: np.ndarray, alone: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(np.full(len(u), alone))], names=["u", "v", "alone"])
-
-    def settle(keys: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, where, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        many = (counts > crowd)[where] if len(keys) else np.zeros(0, bool)
-        yield out(marks[many], marks[many], True)
-        yield out(*_ties(keys[~many], marks[~many], first, width, distance), False)
+            return labels
+        open_ = at[labels[at] != labels[at + step]]
+        apart = marks[open_] ^ marks[open_ + step]
+        near = viable(apart[np.arange(len(open_)), word[open_]], start[open_], plan.distance)
+        if plan.words > 1:
+            near = near[np.bitwise_count(apart[near]).sum(axis=1, dtype=np.int64) <= plan.total]
+        _tie(labels, open_[near], open_[near] + step)
+
+
+def _tie_batches(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Rows key, kind, node, m0, ... sorted by key: u, v that are tied; and, with v = key, the nodes of crowded keys."""
+    names = ["u", "v", "kind", "crowded"]
+    held: np.ndarray | None = None  # the rows of the last key so far
+    passing = None  # the crowded key whose rows pass on as they come
+
+    def out(u: np.ndarray, v: np.ndarray, kind: np.ndarray, crowded: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(kind.astype(np.int32)), pa.array(np.full(len(u), crowded))], names=names)
+
+    def alone(rows: np.ndarray) -> pa.RecordBatch:
+        return out(rows[:, 2], rows[:, 0], rows[:, 1], True)
+
+    def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, where, counts = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
+        many = (counts > plan.crowd)[where] if len(rows) else np.zeros(0, bool)
+        yield alone(rows[many])
+        rows = rows[~many]
+        labels = _ties(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 3:]).view(np.uint64), plan)
+        tied = np.flatnonzero(labels != np.arange(len(rows)))
+        yield out(rows[labels[tied], 2], rows[tied, 2], rows[tied, 1], False)
 
     for batch in batches:
-        keys = np.concatenate([held[0], batch.column(0).to_numpy()])
-        marks = np.concatenate([held[1], batch.column(1).to_numpy().view(np.uint64)])
-        if crowded is not None:
-            same = keys == crowded
-            yield out(marks[same], marks[same], True)
-            keys, marks = keys[~same], marks[~same]
-        if not len(keys):
+        rows = np.stack([c.to_numpy().astype(np.int64, copy=False) for c in batch.columns], axis=1)
+        if held is not None:
+            rows = np.concatenate([held, rows])
+        if passing is not None:
+            yield alone(rows[rows[:, 0] == passing])
+            rows = rows[rows[:, 0] != passing]
+        if not len(rows):
             continue
-        crowded, last = None, keys == keys[-1]
-        held = (keys[last], marks[last])
-        yield from settle(keys[~last], marks[~last])
-        if len(held[0]) > crowd:
-            crowded = held[0][0]
-            yield out(held[1], held[1], True)
-            held = (held[0][:0], held[1][:0])
-    yield from settle(*held)
+        passing, last = None, rows[:, 0] == rows[-1, 0]
+        held = rows[last]
+        yield from settle(rows[~last])
+        if len(held) > plan.crowd:
+            passing = held[0, 0]
+            yield alone(held)
+            held = held[:0]
+    if held is not None:
+        yield from settle(held)
 
 
 def _ball_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -177,57 +229,89 @@ def _ball_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
     for batch in batches:
         marks = batch.column(0).to_numpy().view(np.uint64)
         for i in range(0, len(marks), 64):
-            some = marks[i : i + 64]
-            points = (some[:, None] ^ masks[None, :]).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(points.view(np.int64)), pa.array(np.repeat(some, len(masks)).view(np.int64))], names=["point", "mark"])
+            points = (marks[i : i + 64, None] ^ masks[None, :]).ravel()
+            nodes = np.repeat(batch.column(1).to_numpy()[i : i + 64], len(masks))
+            yield pa.RecordBatch.from_arrays([pa.array(points.view(np.int64)), pa.array(nodes)], names=["point", "node"])
 
 
-def link(marks: DataFrame, distance: int = DISTANCE, crowd: int = CROWD, depth: int | None = None) -> DataFrame:
-    """u, v: edges that tie together all of the different fingerprints `mark` that links of at most `distance` tie together."""
-    if distance % 2:
-        raise ValueError("the distance must be even")
+def link(nodes: DataFrame, distance: int = DISTANCE, words: int = 1, total: int | None = None, crowd: int = CROWD, depth: int | None = None) -> DataFrame:
+    """u, v: edges that tie together all that links tie together, of different fingerprints (node, m0, m1, ...)."""
     if depth is None:
-        depth = 2 if marks.count() < DEEPER_FROM else 3
-    layouts = key_layouts(distance, depth)
-    width = max(sum(w for _, w in ranges) for _, ranges in layouts)
+        depth = (2 if distance <= 4 else 3) + (nodes.count() >= DEEPER_FROM)
+    layouts = [(w, start, ranges) for w in range(words) for start, ranges in key_layouts(distance, depth)]
+    width = max(sum(n for _, n in ranges) for _, _, ranges in layouts)
     keys = []
-    for kind, (_, ranges) in enumerate(layouts):
-        short = width - sum(w for _, w in ranges)
-        keys.append(F.shiftleft(_key(F.col("mark"), kind, ranges), short))
-    keyed = marks.select(F.explode(F.array(*keys)).alias("key"), "mark").repartition("key").sortWithinPartitions("key", "mark")
-    starts = [start for start, _ in layouts]
-    tied = cut(keyed.mapInArrow(partial(_tie_batches, starts=starts, width=width, distance=distance, crowd=crowd), "u long, v long, alone boolean"))
-    edges = tied.where("not alone").select("u", "v")
-    crowded = tied.where("alone").select(F.col("u").alias("mark"))
-    if not crowded.isEmpty():
-        points = crowded.distinct().repartition("mark").mapInArrow(partial(_ball_batches, radius=distance // 2), "point long, mark long")
-        least = points.groupBy("point").agg(F.min("mark").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        shared = points.join(least, "point").where(F.col("u") != F.col("mark"))
-        edges = edges.unionByName(shared.select("u", F.col("mark").alias("v")))
-    return edges
-
-
-def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
-    """doc_id, mark, component_id of every row."""
-    marked = cut(fingerprints(docs, shingle))
-    nodes = cut(marked.groupBy("mark").agg(F.min("doc_id").alias("least")))
-    roots = components(link(nodes.select("mark"), distance, crowd)).withColumnRenamed("node", "mark")
-    rooted = nodes.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    for kind, (w, _, ranges) in enumerate(layouts):
+        short = width - sum(n for _, n in ranges)
+        keys.append(F.shiftleft(_key(F.col(f"m{w}"), kind, ranges), short))
+    plan = Plan(distance, words, 64 * words if total is None else total, crowd, width, tuple((w, start) for w, start, _ in layouts))
+    own = _names(words)
+    edge = "u long, v long, kind int, crowded boolean"
+
+    def compare(keyed: DataFrame, how: Plan) -> DataFrame:
+        sorted_ = keyed.select("key", F.col("kind").cast("long").alias("kind"), "node", *own).repartition("key").sortWithinPartitions("key", "node")
+        return sorted_.mapInArrow(partial(_tie_batches, plan=how), edge)
+
+    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *own).withColumn("kind", F.shiftright("key", width))
+    tied = cut(compare(keyed, plan))
+    edges = tied.where("not crowded").select("u", "v")
+    crowded = tied.where("crowded").select(F.col("u").alias("node"), F.col("v").alias("key"), "kind")
+    if crowded.isEmpty():
+        return edges
+    if words == 1 and distance <= 4:
+        points = crowded.select("node").distinct().join(nodes, "node").select("m0", "node").repartition("node").mapInArrow(partial(_ball_batches, radius=distance // 2), "point long, node long")
+        if distance % 2:
+            raise ValueError("the distance must be even")
+        least = points.groupBy("point").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        shared = points.join(least, "point").where(F.col("u") != F.col("node")).select("u", F.col("node").alias("v"))
+        return edges.unionByName(shared)
+    blocks = crowded.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / crowd).alias("blocks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    pairs = crowded.join(blocks, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).join(nodes, "node")
+    again = compare(pairs, replace(plan, crowd=1 << 62)).select("u", "v")
+    return edges.unionByName(again)
+
+
+def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, words: int = 1, total: int | None = None, crowd: int = CROWD, kept: dict | None = None) -> DataFrame:
+    """doc_id, kept columns, m0, m1, ..., component_id of every row."""
+    own = _names(words)
+    marked = cut(fingerprints(docs, shingle, words, kept))
+    nodes = cut(marked.groupBy(*own).agg(F.min("doc_id").alias("least")).withColumn("node", F.col("m0") if words == 1 else F.monotonically_increasing_id()))
+    roots = components(link(nodes.drop("least"), distance, words, total, crowd))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.select("mark", "root").join(named, "root").drop("root"), "mark")
+    return marked.join(rooted.select(*own, "root").join(named, "root").drop("root"), own)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 1, **options) -> DataFrame:
     """The rows, with all their columns, whose id names their component; of rows that repeat such an id one."""
-    found = classes(docs, **options)
-    kept = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), F.col("mark").alias("_mark")))
-    n = kept.count()
-    again = n - kept.distinct().count()
-    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if again else out
+    text = F.xxhash64("text")
+    found = classes(docs, words=words, kept={"_text": text}, **options)
+    named = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_id"), "_text")
+    # of a component without any id, the row with the least fingerprint and text
+    nameless = found.where("doc_id is null and component_id is null")
+    if not nameless.isEmpty():
+        named = named.unionByName(_least_of_components(docs, nameless, words, options))
+    named = cut(named)
+    rows, one = named.count(), named.groupBy("_id").agg(F.min("_text").alias("_text"))
+    one = cut(one.where("_id is not null").unionByName(named.where("_id is null").distinct()))
+    out = docs.join(one, docs["doc_id"].eqNullSafe(one["_id"]) & (text == one["_text"]), "left_semi")
+    if one.count() == rows:
+        return out
+    columns = out.columns  # an id or a text repeats: rows of one id and text are the same document
+    return out.withColumn("_text", text).dropDuplicates(["doc_id", "_text"]).select(*columns)
+
+
+def _least_of_components(docs: DataFrame, nameless: DataFrame, words: int, options: dict) -> DataFrame:
+    """_id (null) and _text of one row for each component of rows without an id."""
+    again = docs.where("doc_id is null").withColumn("doc_id", F.xxhash64("text"))
+    own = classes(again, words=words, **options).select("component_id").distinct()
+    alone = nameless.select("_text").distinct()
+    return own.join(alone, own["component_id"] == alone["_text"], "left_semi").select(F.lit(None).cast("long").alias("_id"), F.col("component_id").alias("_text"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, links of 4 differing bits or fewer."""
     found = classes(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("m0"), 16, "0")).alias("fingerprint"), "component_id")
