@@ -36,28 +36,41 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
-def masks(span: int, slack: int) -> list[tuple[int, ...]]:
-    """The positions that each mask keeps."""
-    classes = slack + 2
-    return [tuple(p for p in range(span) if p % classes not in ignored) for ignored in combinations(range(classes), slack)]
+def classes(span: int, slack: int) -> list[list[int]]:
+    """The positions of each class; a mask keeps all classes but `slack`."""
+    n = slack + 2 if slack else 1
+    return [list(range(c, span, n)) for c in range(n)]
+
 
+def masks(span: int, slack: int) -> list[tuple[int, ...]]:
+    """The classes that each mask keeps."""
+    n = len(classes(span, slack))
+    return list(combinations(range(n), n - slack))
 
-def _hash(words: Column, at: Column, kept: tuple[int, ...], kind: int) -> Column:
-    return F.xxhash64(F.lit(kind), *[F.get(words, at + p) for p in kept])
 
+def _windows(rows: DataFrame, names: list[str], span: int, slack: int) -> DataFrame:
+    """Each row's windows under each mask: names, words, at, hash.
 
-def _windows(rows: DataFrame, names: list[str], span: int, kinds: list[tuple[int, ...]]) -> DataFrame:
-    """Each row's windows under each mask: names, words, at, hash."""
-    long = rows.where(F.size("words") >= span)
-    placed = long.select(*names, "words", F.explode(F.sequence(F.lit(0), F.size("words") - span)).alias("at"))
-    return placed.select(*names, "words", "at", F.explode(F.array(*[_hash(F.col("words"), F.col("at"), k, i) for i, k in enumerate(kinds)])).alias("hash"))
+    Every class of a window is hashed once, a mask mixes its classes' hashes. All of this stays in one generated method
+    that is short enough to be compiled.
+    """
+    placed = rows.select(*names, "words", F.explode(F.when(F.size("words") >= span, F.sequence(F.lit(0), F.size("words") - span))).alias("at"))
+    own = [f"_c{c}" for c in range(len(classes(span, slack)))]
+    hashed = placed.select(*names, "words", "at", *[F.xxhash64(*[F.get("words", F.col("at") + p) for p in kept]).alias(c) for c, kept in zip(own, classes(span, slack), strict=True)])
+    mixed = []
+    for kind, kept in enumerate(masks(span, slack)):
+        value = F.lit(kind).cast("long")
+        for turn, c in enumerate(kept):  # rotations by different steps, so that no two classes cancel out
+            value = value.bitwiseXOR(F.shiftleft(own[c], 7 * turn + 1)).bitwiseXOR(F.shiftrightunsigned(own[c], 63 - 7 * turn))
+        mixed.append(value)
+    return hashed.select(*names, "words", "at", F.explode(F.array(*mixed)).alias("hash"))
 
 
 def _equal(span: int) -> Column:
     """How many tokens of the two windows are equal."""
     same = F.lit(0)
     for p in range(span):
-        same = same + F.when(F.get("words", F.col("at") + p) == F.get("item_words", F.col("item_at") + p), 1).otherwise(0)
+        same = same + (F.get("words", F.col("at") + p) == F.get("item_words", F.lit(p))).cast("int")
     return same
 
 
@@ -68,18 +81,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, names: list[str], span: int = S
     texts = docs.select(*names, tokens(F.col("text")).alias("words"))
     found = None
     for length in [*sorted(short), span]:
-        kinds = masks(span, slack) if length == span else [tuple(range(length))]
         allowed = slack if length == span else 0
         own = items if length == span else items.where(F.size("words") == length)
-        seeds = _windows(own, ["item_id"], length, kinds).select("item_id", F.slice("words", F.col("at") + 1, length).alias("item_words"), F.lit(0).alias("item_at"), "hash")
+        seeds = _windows(own, ["item_id"], length, allowed).select("item_id", F.slice("words", F.col("at") + 1, length).alias("item_words"), "hash")
         seeds = cut(seeds.distinct())
-        blocks = max(1, -(-seeds.count() // (block_windows * len(kinds))))
+        blocks = max(1, -(-seeds.count() // (block_windows * len(masks(length, allowed)))))
         for b in range(blocks):
             part = seeds if blocks == 1 else seeds.where(F.pmod(F.col("hash"), F.lit(blocks)) == b)
-            hits = _windows(texts, names, length, kinds).join(F.broadcast(part), "hash")
-            equal = hits.select(*names, "item_id", "at", _equal(length).alias("overlap")).where(F.col("overlap") >= length - allowed)
-            found = equal if found is None else found.unionByName(equal)
-    return found.groupBy(*names, "item_id").agg(F.max("overlap").cast("int").alias("overlap"), F.min("at").cast("int").alias("doc_start"))
+            hits = _windows(texts, names, length, allowed).join(F.broadcast(part), "hash")
+            enough = F.lit(length - allowed)
+            verified = hits.select(*names, "item_id", "at", _equal(length).alias("overlap"), enough.alias("enough"))
+            found = verified if found is None else found.unionByName(verified)
+    # a condition on the overlap before this would move into the join, which would then compare every window twice
+    best = found.groupBy(*names, "item_id").agg(F.max(F.when(F.col("overlap") >= F.col("enough"), F.col("overlap"))).alias("overlap"), F.min(F.when(F.col("overlap") >= F.col("enough"), F.col("at"))).alias("doc_start"))
+    return best.where("overlap is not null")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
