@@ -34,6 +34,8 @@ LEAST_BYTES = 1000
 BASE_TIME = 1_767_225_600
 #: Index rows that one task merges, about.
 RANGE_ROWS = 100_000
+#: Revisits up to this number (some 20 MB) are sent to all tasks; more of them are joined by a shuffle of the pages.
+BROADCAST_ROWS = 200_000
 INDEX = "url_key string, captured_at long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, place long"
 
 
@@ -45,14 +47,17 @@ def url_key(url: Column) -> Column:
     return F.when(url == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest))
 
 
-def roles(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """The pages with their payload's digest and, for revisits, refers_to (and `revisit`)."""
+def roles(pages: DataFrame, least_bytes: int = LEAST_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The pages with refers_to, which is null but for revisits."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"))
     narrow = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least_bytes)
     kept = narrow.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("k")).where("k > 1 and keeper is not null")
     again = narrow.join(kept, "digest").where(~F.col("page_id").eqNullSafe(F.col("keeper")))
     again = again.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("keeper").alias("refers_to")).distinct()
+    again = cut(again)
+    if again.count() <= broadcast_rows:
+        again = F.broadcast(again)
     joined = own.join(again, own["page_id"].eqNullSafe(again["_id"]) & (own["digest"] == again["_digest"]), "left")
     return joined.select("page_id", "url", "html", "refers_to")
 
@@ -124,14 +129,13 @@ def _write_batches(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64())], names=["file", "records"])
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Write pages (page_id, url, html, and captured_at in seconds if there is one) into WARC files; file, records of each.
+def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Write pages (page_id, url, html) into WARC files; file, records of each. Payloads stay in the tasks that read them.
 
     folder: a URI that driver and executors share.
     """
-    # by payload and id, as one URL or page may stand for many rows; the wide rows move once
     at = F.coalesce(F.col("page_id"), F.lit(0)) + BASE_TIME
-    placed = roles(pages, least_bytes).select(url_key(F.col("url")).alias("url_key"), at.alias("captured_at"), "page_id", "url", "html", "refers_to")
+    placed = roles(pages, least_bytes, broadcast_rows).select(url_key(F.col("url")).alias("url_key"), at.alias("captured_at"), "page_id", "url", "html", "refers_to")
     return cut(placed.sortWithinPartitions("url_key", "captured_at", "page_id").mapInArrow(partial(_write_batches, folder=folder), "file string, records long"))
 
 

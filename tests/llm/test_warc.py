@@ -50,6 +50,8 @@ def test_pages(spark, tmp_path):
     rows += [(300, None, None), (301, "", "x" * 999), (302, "http://a", "x" * 999), (303, "a", "y" * 1000), (304, "b", "y" * 1000), (304, "b", "y" * 1000), (None, "c", "y" * 1000), (None, "c", "z" * 2000), (None, "d", "z" * 2000)]
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], PAGES)
     folder = f"file://{tmp_path}/archives"
+    other = warc.write(df, f"{folder}2", broadcast_rows=3)
+    assert sorted(map(str, (r[:7] for r in warc.read(other, f"{folder}2").collect()))) == sorted(map(str, (r[:7] for r in warc.read(warc.write(df, f"{folder}3"), f"{folder}3").collect())))
     files = warc.write(df, folder)
     assert sum(r["records"] for r in files.collect()) == len(rows)
     merged = warc.merge(warc.read(files, folder), range_rows=20).collect()
