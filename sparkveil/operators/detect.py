@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checksums, taxonomy, text
-from ..functions.rules import Rule, compile_rule, for_language
+from ..functions.rules import Rule, compile_rule, for_language, presence
 
 FINDING = "struct<start:int,end:int,entity_type:string,value:string,score:double,source:string,validated:boolean>"
 FINDINGS = f"array<{FINDING}>"
@@ -38,27 +38,39 @@ def changed(f: Column, **fields: Column) -> Column:
     return F.struct(*[fields.get(n, f[n]).alias(n) for n in names]).cast(FINDING)
 
 
-def scan(source: Column, rule: Rule, boost: float = CONTEXT_BOOST, near: int = CONTEXT_TOKENS) -> Column:
-    """A rule's findings in a text."""
+def _quoted(value: str) -> str:
+    """A text as a literal of SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def made(m: Column) -> Column:
-        score = F.lit(rule.score)
-        if rule.context:
-            before = F.substring(source, 1, m["start"])
-            tokens = F.split(text.clean(F.lower(F.substring(before, -120, 120))), r"(?U)[\s,;()]+")
-            last = F.slice(F.reverse(tokens), 1, near)
-            hit = F.exists(last, lambda t: F.lit(False) if not rule.context else _any(t.contains(c.lower()) for c in rule.context))
-            score = F.when(hit, F.least(F.lit(rule.score + boost), F.lit(1.0))).otherwise(score)
-        return finding(m["start"], m["end"], rule.entity, m["value"], score, rule.source)
 
-    return F.transform(text.spans(source, compile_rule(rule)), made)
+def _paired(pattern: str) -> str:
+    """A match with the gap before it, anchored at the end of the last one; flags first."""
+    flags, rest = pattern[: pattern.index(")") + 1], pattern[pattern.index(")") + 1 :]
+    return rf"{flags}\G([\s\S]*?)({rest})"
 
 
-def _any(conditions: Iterable[Column]) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | c
-    return out
+def scan_sql(column: str, rule: Rule, boost: float = CONTEXT_BOOST, near: int = CONTEXT_TOKENS) -> str:
+    """A rule's findings in a column, as SQL: one text to parse in place of some sixty calls to the JVM for each rule."""
+    pattern = compile_rule(rule)
+    both = f"arrays_zip(regexp_extract_all({column}, {_quoted(_paired(pattern))}, 1), regexp_extract_all({column}, {_quoted(_paired(pattern))}, 2))"
+    start, end = "a.at + length(m.`0`)", "a.at + length(m.`0`) + length(m.`1`)"
+    step = f"named_struct('at', {end}, 'found', concat(a.found, array(named_struct('start', {start}, 'end', {end}, 'value', m.`1`))))"
+    places = f"aggregate({both}, named_struct('at', 0, 'found', cast(array() as array<struct<start:int,end:int,value:string>>)), (a, m) -> {step}, a -> a.found)"
+    score = f"{rule.score}D"
+    if rule.context:
+        tokens = f"split(lower(regexp_replace(substring(substring({column}, 1, m.start), -120, 120), {_quoted(r'(?U)^[\s,;()]+|[\s,;()]+$')}, '')), {_quoted(r'(?U)[\s,;()]+')})"
+        said = " or ".join(f"contains(t, {_quoted(c.lower())})" for c in rule.context)
+        score = f"if(exists(slice(reverse({tokens}), 1, {near}), t -> {said}), {min(1.0, rule.score + boost)}D, {rule.score}D)"
+    fields = f"named_struct('start', m.start, 'end', m.`end`, 'entity_type', {_quoted(rule.entity)}, 'value', m.value, 'score', {score}, 'source', {_quoted(rule.source)}, 'validated', cast(null as boolean))"
+    there = [f"contains({column}, {_quoted(rule.needs)})"] if rule.needs else []
+    there += [f"{column} rlike {_quoted(cheap)}"] if (cheap := presence(rule)) else []
+    there.append(f"{column} rlike {_quoted(pattern)}")
+    return f"case when {' and '.join(there)} then transform({places}, m -> {fields}) else cast(array() as {FINDINGS}) end"
+
+
+def scan(column: str, rule: Rule) -> Column:
+    """A rule's findings in a column."""
+    return F.expr(f"cast({scan_sql(column, rule)} as {FINDINGS})")
 
 
 def drop_same_type(found: Column) -> Column:
@@ -120,11 +132,12 @@ def passes(f: Column, settings: dict | None = None, sensitivity: float = 0.0) ->
 def candidates(units: DataFrame, rules: list[Rule], allow: Iterable[str] = (), languages: tuple[str, ...] = ("de", "en"), extra: Column | None = None, given_names: Iterable[str] = (), products: Iterable[str] = (), settings: dict | None = None, sensitivity: float = 0.0, stopwords: Iterable[str] = ()) -> DataFrame:
     """units with `found`: the findings of all rules of the unit's language that pass the gate. extra: findings of a model."""
     plain = text.neutralize(F.coalesce(F.col("text"), F.lit("")))
-    both = [r for r in rules if not r.languages]
-    parts = [scan(F.col("_plain"), r) for r in both]
+    told = [scan_sql("_plain", r) for r in rules if not r.languages]
     for lang in languages:
-        own = [r for r in for_language(rules, lang) if r.languages]
-        parts += [F.when(F.col("lang") == lang, scan(F.col("_plain"), r)).otherwise(none()) for r in own]
+        own = [scan_sql("_plain", r) for r in for_language(rules, lang) if r.languages]
+        if own:  # the rules of other languages are not run
+            told.append(f"case when lang = {_quoted(lang)} then concat({', '.join(own)}) else cast(array() as {FINDINGS}) end")
+    parts = [F.expr(f"cast(concat({', '.join(told)}) as {FINDINGS})")] if told else [none()]
     if extra is not None:
         parts.append(F.coalesce(extra, none()))
     allowed = sorted({a.lower() for a in allow})

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import checksums, text
 from ..operators import detect, document, pseudonymize, review, verify
 from ..operators.resolve import resolved
-from ..sources.tables import publish
+from ..sources.tables import free_name, publish
 from .config import Config
+from .materialize import materialized
 
 
 @dataclass(frozen=True)
@@ -70,11 +71,15 @@ def scan(units: DataFrame, config: Config | None = None, codes: list[str] | None
     has_cells = "header" in units.columns
     lang = lang if has_cells else lang.withColumn("header", F.lit(None).cast("string"))
     seen = document.header_context(F.col("header"), F.col("text"))
-    distinct = lang.select(F.coalesce("header", F.lit("")).alias("header"), "text", "lang").distinct()
+    # dealt by a stated number: adaptive planning goes by bytes, and rules cost seconds for a megabyte
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    distinct = lang.select(F.coalesce("header", F.lit("")).alias("header"), "text", "lang").repartition(n, "header", "text", "lang").distinct()
     scanned = distinct.withColumn("_value", F.col("text")).withColumn("text", seen)
     scanned = detect.candidates(scanned, config.rules(), config.allow, config.languages, extra, config.given_names, config.products, config.settings, config.sensitivity, config.stopwords)
-    scanned = scanned.select("header", F.col("_value").alias("text"), "lang", document.clip(F.col("found"), F.col("header")).alias("found"))
-    joined = lang.withColumn("header", F.coalesce("header", F.lit(""))).join(scanned, ["header", "text", "lang"])
+    # the rules are the cost of a scan: only texts in which something was found go on
+    scanned = scanned.select("header", F.col("_value").alias("text"), "lang", document.clip(F.col("found"), F.col("header")).alias("found")).where(F.size("found") > 0)
+    scanned = materialized(scanned)
+    joined = lang.withColumn("header", F.coalesce("header", F.lit(""))).join(scanned, ["header", "text", "lang"], "left").withColumn("found", F.coalesce("found", detect.none()))
     if has_cells:
         people = F.lit(False)
         if config.infer_name_columns and config.given_names and {"sheet", "col", "row"} <= set(units.columns):
@@ -83,16 +88,19 @@ def scan(units: DataFrame, config: Config | None = None, codes: list[str] | None
             people = F.coalesce("_people", F.lit(False))
         joined = joined.withColumn("found", document.whole_cells(F.col("header"), F.col("text"), F.col("found"), people, config.topical)).drop("_people")
     if config.propagate:
-        first = joined.withColumn("found", resolved("found", "text"))
+        joined = materialized(joined)
+        first = joined.where(F.exists("found", lambda f: f["entity_type"] == "PERSON")).withColumn("found", resolved("found", "text"))
         known = document.seeds(detect.rows(first).select("doc_id", "entity_type", "value"))
         if has_cells:
             known = known.unionByName(document.topical_seeds(lang, config.topical, config.topical_terms)).distinct()
-        joined = document.with_seeds(joined, known)
-    found = joined.withColumn("found", F.array_distinct("found")).withColumn("found", resolved("found", "text"))
+        joined = document.with_seeds(joined, materialized(known))
+    few = F.when(F.size("found") > 1, resolved("found", "text")).otherwise(F.col("found"))
+    found = materialized(joined.withColumn("found", F.array_distinct("found")).withColumn("found", few))
     findings = detect.rows(found)
     groups = review.grouped(findings, config.settings, high=config.tier_high, medium=config.tier_medium)
     groups = review.corroborated(groups) if config.corroboration else groups.withColumn("demoted", F.lit(False))
-    misses = review.possible_misses(lang, findings, codes)
+    groups = materialized(groups)
+    misses = materialized(review.possible_misses(lang, findings, codes))
     return ScanFrames(found, findings, groups, misses, review.stats(lang, groups, misses))
 
 
@@ -108,6 +116,7 @@ def apply(frames: ScanFrames, decisions: DataFrame, mapping: pseudonymize.Mappin
     before the output gets its name.
     """
     config = config or Config()
+    folder = free_name(decisions.sparkSession, folder)
     out, minted = pseudonymize.apply(frames.units.drop("found"), frames.findings, decisions, mapping)
     removed = pseudonymize.decided(frames.findings, decisions).where(F.col("action").isin(*verify.REMOVING)).select("doc_id", "value")
 

@@ -24,13 +24,14 @@ def cell_text(column: Column, kind: T.DataType) -> Column:
     return F.when(F.length(F.regexp_replace(whole, "-", "")) >= 5, whole)
 
 
-def unpivot(table: DataFrame, doc: str, key: Column, sheet: str = "table") -> DataFrame:
-    """A unit for each cell of a table, in row and column order. key: a column that names the row (long)."""
+def unpivot(table: DataFrame, doc: str, key: Column, sheet: str = "table", skip: tuple[str, ...] = ()) -> DataFrame:
+    """A unit for each cell of a table, in row and column order. key: a column that names the row (long); skip: no cells."""
+    fields = [f for f in table.schema.fields if f.name not in skip]
     cells = F.array(*[
         F.struct(F.lit(k).alias("k"), F.lit(_letter(k)).alias("col"), F.lit(f.name).alias("header"), cell_text(F.col(f"`{f.name}`"), f.dataType).alias("text"))
-        for k, f in enumerate(table.schema.fields)
+        for k, f in enumerate(fields)
     ])
-    width = len(table.schema.fields)
+    width = len(fields)
     made = table.select(key.cast("long").alias("row"), F.explode(cells).alias("c")).where("c.text is not null and c.text <> ''")
     return made.select(
         F.lit(doc).alias("doc_id"), F.concat_ws("!", F.lit(sheet), F.concat("c.col", F.col("row").cast("string"))).alias("unit_id"), (F.col("row") * width + F.col("c.k")).alias("unit_ord"),
@@ -80,9 +81,9 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, doc: str | None = None) -> DataFrame:
-    """A CSV file's cells as units; the first row holds the headers."""
-    table = spark.read.csv(path, header=True)
-    return unpivot(table, doc or path, F.monotonically_increasing_id() + 2)
+    """A CSV file's cells as units; the first row holds the headers. Row numbers rise through the file, with gaps between its parts."""
+    table = spark.read.csv(path, header=True).withColumn("_row", F.monotonically_increasing_id() + 2)
+    return unpivot(table, doc or path, F.col("_row"), skip=("_row",))
 
 
 def write_findings_csv(export: DataFrame, path: str) -> None:
