@@ -156,5 +156,6 @@ def candidates(units: DataFrame, rules: list[Rule], allow: Iterable[str] = (), l
 def rows(units: DataFrame, column: str = "found") -> DataFrame:
     """A row for each finding, with the unit's keys and a snippet."""
     keys = [c for c in ("doc_id", "unit_id", "unit_ord", "lang", "header", "sheet", "col", "row") if c in units.columns]
-    made = units.select(*keys, "text", F.explode(column).alias("_f")).select(*keys, "text", "_f.*")
+    # the outer form, as the other one would have the findings counted, and so made, a second time beforehand
+    made = units.select(*keys, "text", F.explode_outer(column).alias("_f")).where("_f is not null").select(*keys, "text", "_f.*")
     return made.withColumn("context", text.snippet(F.col("text"), F.col("start"), F.col("end"))).drop("text")

@@ -71,7 +71,7 @@ def topical_seeds(cells: DataFrame, categories: dict[str, str] | None = None, te
 
 def _words(units: DataFrame) -> DataFrame:
     """Every run of letters and digits of a unit with its place."""
-    return units.select("doc_id", "unit_id", "text", F.explode(text.spans(F.col("text"), r"[\p{L}\p{N}]+")).alias("w"))
+    return units.select("doc_id", "unit_id", "text", F.explode_outer(text.spans(F.col("text"), r"[\p{L}\p{N}]+")).alias("w")).where("w is not null")
 
 
 def propagated(units: DataFrame, known: DataFrame) -> DataFrame:

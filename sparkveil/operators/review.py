@@ -83,7 +83,7 @@ def possible_misses(units: DataFrame, findings: DataFrame, codes: list[str], lim
     """
     matches = None
     for k, pattern in enumerate(MISS_PATTERNS):
-        own = units.select("doc_id", "unit_id", "unit_ord", "text", F.lit(k).alias("pattern"), F.explode(text.spans(F.col("text"), pattern)).alias("m"))
+        own = units.select("doc_id", "unit_id", "unit_ord", "text", F.lit(k).alias("pattern"), F.explode_outer(text.spans(F.col("text"), pattern)).alias("m")).where("m is not null")
         matches = own if matches is None else matches.unionByName(own)
     value = text.clean(F.col("m.value"))
     found = matches.select("doc_id", "unit_id", "unit_ord", "pattern", "text", F.col("m.start").alias("start"), F.col("m.end").alias("end"), value.alias("value"))

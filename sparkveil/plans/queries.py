@@ -60,7 +60,7 @@ union all select p_partkey, 1, 7 + length(p_name) + 3, 'say "' || p_brand || '"'
 
 def _counts(pattern: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = _read(spark, sf_dir, "documents").select("doc_id", F.explode(text.spans(F.col("text"), pattern)).alias("m"))
+        found = _read(spark, sf_dir, "documents").select("doc_id", F.explode_outer(text.spans(F.col("text"), pattern)).alias("m")).where("m is not null")
         return found.select("doc_id", F.col("m.start").alias("start_at"), F.col("m.end").alias("end_at"), F.col("m.value").alias("value"))
 
     return run
@@ -86,7 +86,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     units = tables.texts(_read(spark, sf_dir, "documents")).withColumn("lang", F.lit("en"))
     found = detect.candidates(units, rules).withColumn("found", resolved("found", "text"))
-    rows = found.select(F.explode("found").alias("f")).select("f.*")
+    rows = found.select(F.explode_outer("found").alias("f")).where("f is not null").select("f.*")
     return rows.groupBy("entity_type").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct(text.key(F.col("value"))).alias("distinct_values"), F.count_if("validated").alias("proven"), F.count_if(~F.col("validated")).alias("failed"))
 
 

@@ -73,13 +73,15 @@ def scan(units: DataFrame, config: Config | None = None, codes: list[str] | None
     seen = document.header_context(F.col("header"), F.col("text"))
     # dealt by a stated number: adaptive planning goes by bytes, and rules cost seconds for a megabyte
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    distinct = lang.select(F.coalesce("header", F.lit("")).alias("header"), "text", "lang").repartition(n, "header", "text", "lang").distinct()
+    distinct = lang.select(F.coalesce("header", F.lit("")).alias("header"), "text", "lang").distinct().repartition(n)
     scanned = distinct.withColumn("_value", F.col("text")).withColumn("text", seen)
     scanned = detect.candidates(scanned, config.rules(), config.allow, config.languages, extra, config.given_names, config.products, config.settings, config.sensitivity, config.stopwords)
-    # the rules are the cost of a scan: only texts in which something was found go on
-    scanned = scanned.select("header", F.col("_value").alias("text"), "lang", document.clip(F.col("found"), F.col("header")).alias("found")).where(F.size("found") > 0)
-    scanned = materialized(scanned)
-    joined = lang.withColumn("header", F.coalesce("header", F.lit(""))).join(scanned, ["header", "text", "lang"], "left").withColumn("found", F.coalesce("found", detect.none()))
+    # The rules are the cost of a scan. A condition on what they found would be moved below this and run them twice, so it
+    # waits until they have run; texts are known by their hash from here.
+    scanned = scanned.select("header", F.sha2("_value", 256).alias("_hash"), "lang", document.clip(F.col("found"), F.col("header")).alias("found"))
+    scanned = materialized(scanned).where(F.size("found") > 0)
+    joined = lang.withColumns({"header": F.coalesce("header", F.lit("")), "_hash": F.sha2("text", 256)})
+    joined = joined.join(scanned, ["header", "_hash", "lang"], "left").drop("_hash").withColumn("found", F.coalesce("found", detect.none()))
     if has_cells:
         people = F.lit(False)
         if config.infer_name_columns and config.given_names and {"sheet", "col", "row"} <= set(units.columns):

@@ -21,7 +21,7 @@ def duck(sf):
 
 def plain(frame, columns):
     def one(x):
-        if x is None or x != x or type(x).__name__ in ("NAType", "NaTType"):
+        if x is None or type(x).__name__ in ("NAType", "NaTType") or x != x:
             return "-"
         return str(x) if isinstance(x, (str, bool)) or type(x).__name__ in ("bool", "bool_") else str(round(float(x), 6))
 
