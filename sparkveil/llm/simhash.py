@@ -41,8 +41,8 @@ from .components import components
 SHINGLE = 4
 DISTANCE = 4
 CROWD = 2048
-#: The pipeline's: 5-word shingles, two words, either within 8 bits and both within 28, which estimates a similarity of 0.8.
-WIDE = {"shingle": 5, "distance": 8, "words": 2, "total": 28}
+#: The pipeline's: 5-word shingles, four words, one of them within 8 bits and all within 48 of 256, for a similarity of 0.8.
+WIDE = {"shingle": 5, "distance": 8, "words": 4, "total": 48}
 #: From so many fingerprints a key takes in one more segment.
 DEEPER_FROM = 1 << 22
 
@@ -163,6 +163,8 @@ class Plan:
     width: int
     #: Of each kind: the word, and the segment that its chain starts at.
     kinds: tuple[tuple[int, int], ...]
+    #: Whether rows have their kind in a column; else it is what stands above a key's width.
+    told: bool = False
 
 
 def _ties(keys: np.ndarray, kinds: np.ndarray, marks: np.ndarray, plan: Plan) -> np.ndarray:
@@ -184,7 +186,7 @@ def _ties(keys: np.ndarray, kinds: np.ndarray, marks: np.ndarray, plan: Plan) ->
 
 
 def _tie_batches(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Rows key, kind, node, m0, ... sorted by key: u, v that are tied; and, with v = key, the nodes of crowded keys."""
+    """Rows key, node, m0, ... (kind) sorted by key: u, v that are tied; and, with v = key, the nodes of crowded keys."""
     names = ["u", "v", "kind", "crowded"]
     held: np.ndarray | None = None  # the rows of the last key so far
     passing = None  # the crowded key whose rows pass on as they come
@@ -205,7 +207,9 @@ def _tie_batches(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.R
         yield out(rows[labels[tied], 2], rows[tied, 2], rows[tied, 1], False)
 
     for batch in batches:
-        rows = np.stack([c.to_numpy().astype(np.int64, copy=False) for c in batch.columns], axis=1)
+        key, node, *marks = [c.to_numpy().astype(np.int64, copy=False) for c in batch.columns]
+        kind = marks.pop() if plan.told else key >> plan.width
+        rows = np.stack([key, kind, node, *marks], axis=1)
         if held is not None:
             rows = np.concatenate([held, rows])
         if passing is not None:
@@ -249,10 +253,11 @@ def link(nodes: DataFrame, distance: int = DISTANCE, words: int = 1, total: int
     edge = "u long, v long, kind int, crowded boolean"
 
     def compare(keyed: DataFrame, how: Plan) -> DataFrame:
-        sorted_ = keyed.select("key", F.col("kind").cast("long").alias("kind"), "node", *own).repartition("key").sortWithinPartitions("key", "node")
+        kind = ["kind"] if how.told else []  # a column less to move where the key says it
+        sorted_ = keyed.select("key", "node", *own, *kind).repartition("key").sortWithinPartitions("key", "node")
         return sorted_.mapInArrow(partial(_tie_batches, plan=how), edge)
 
-    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *own).withColumn("kind", F.shiftright("key", width))
+    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *own)
     tied = cut(compare(keyed, plan))
     edges = tied.where("not crowded").select("u", "v")
     crowded = tied.where("crowded").select(F.col("u").alias("node"), F.col("v").alias("key"), "kind")
@@ -269,7 +274,7 @@ def link(nodes: DataFrame, distance: int = DISTANCE, words: int = 1, total: int
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = crowded.join(blocks, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = pairs.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).join(nodes, "node")
-    again = compare(pairs, replace(plan, crowd=1 << 62)).select("u", "v")
+    again = compare(pairs, replace(plan, crowd=1 << 62, told=True)).select("u", "v")
     return edges.unionByName(again)
 
 
