@@ -191,3 +191,28 @@ def clip(found: Column, header: Column) -> Column:
         F.substring(f["value"], F.greatest(off - f["start"], F.lit(0)) + 1, F.length(f["value"])).alias("value"), f["score"].alias("score"), f["source"].alias("source"), f["validated"].alias("validated"),
     )
     return F.transform(F.filter(found, lambda f: f["end"] > off), cut).cast(FINDINGS)
+
+
+def title_findings(found: Column) -> Column:
+    """Findings of a sheet's title that may rename it: names only with more than a guess behind them."""
+    from ..functions import taxonomy
+    from .detect import GATED_SOURCES
+
+    bare = lambda f: f["entity_type"].isin(*taxonomy.NER_ENTITIES) & f["source"].isin(*GATED_SOURCES) & ~F.coalesce(f["validated"], F.lit(False))
+    return F.filter(found, lambda f: ~bare(f))
+
+
+def with_proprietary(units: DataFrame, vocabulary: Iterable[str]) -> DataFrame:
+    """units with, in `found`, words that look like names of products and that nothing else claims. No vocabulary: unchanged."""
+    from .detect import OOV_SOURCE
+
+    known = sorted({v.lower() for v in vocabulary})
+    if not known:
+        return units
+    words = units.select("doc_id", "unit_id", F.explode_outer(text.spans(F.col("text"), r"[\p{L}]{5,}")).alias("w")).where("w is not null")
+    names = proprietary(words.select(F.col("w.value").alias("word")), known)
+    hits = words.join(names, F.col("w.value") == F.col("word"))
+    told = hits.groupBy("doc_id", "unit_id").agg(F.collect_list(finding(F.col("w.start"), F.col("w.end"), "NER_MISC", F.col("word"), SEED_SCORE, OOV_SOURCE)).cast(FINDINGS).alias("_oov"))
+    free = lambda s: ~F.exists("found", lambda f: (f["start"] < s["end"]) & (s["start"] < f["end"]))
+    joined = units.join(told, ["doc_id", "unit_id"], "left")
+    return joined.withColumn("found", F.concat("found", F.filter(F.coalesce("_oov", none()), free))).drop("_oov")

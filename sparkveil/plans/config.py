@@ -37,6 +37,8 @@ class Config:
     given_names: tuple[str, ...] = ()
     products: tuple[str, ...] = ()
     stopwords: tuple[str, ...] = ()
+    #: Ordinary words; with them, capitalised words that are none of them nor their compounds are candidates for products.
+    vocabulary: tuple[str, ...] = ()
     ml_min_score: float = 0.3
     ml_trust: float = 0.85
     ml: bool = False

@@ -597,6 +597,181 @@ def l_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 L_ROUND_TRIP = "select '' as doc_id, '' as unit_id, '' as original, '' as restored where false"
 
+# --- further operators --------------------------------------------------------------------------------------------------
+
+
+def a_cell_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _read(spark, sf_dir, "orders")
+    cell = {f.name: tables.cell_text(F.col(f.name), f.dataType) for f in table.schema.fields}
+    return table.select("o_orderkey", cell["o_totalprice"].alias("price"), cell["o_custkey"].alias("cust"), cell["o_orderdate"].alias("day"), cell["o_orderstatus"].alias("status"))
+
+
+A_COERCION = """select o_orderkey, case when o_totalprice = floor(o_totalprice) and length(abs(o_totalprice)::bigint::varchar) >= 5 then o_totalprice::bigint::varchar end as price,
+ case when length(o_custkey::varchar) >= 5 then o_custkey::varchar end as cust, null::varchar as day, o_orderstatus as status from orders"""
+
+
+def a_boxes_for_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three words in a row; which of their boxes a span touches."""
+    from ..sources.pages import boxes_for_span
+
+    n = F.col("p_size").cast("int")
+    box = lambda k: F.struct((F.lit(k) * 10.0).alias("x0"), F.lit(0.0).alias("y0"), (F.lit(k) * 10.0 + 8).alias("x1"), F.lit(9.0).alias("y1"), F.lit(5 * k).alias("start"), F.lit(5 * k + 4).alias("end"))
+    start = F.pmod(n, F.lit(12))
+    hit = boxes_for_span(F.array(box(0), box(1), box(2)), start, start + 3)
+    return _read(spark, sf_dir, "part").select("p_partkey", F.size(hit).alias("boxes"), F.array_min(F.transform(hit, lambda b: b["x0"])).alias("left"))
+
+
+A_BOXES = """with s as (select p_partkey, p_size % 12 as s from part)
+select p_partkey, ((s < 4)::int + (s < 9 and s + 3 > 5)::int + (s + 3 > 10)::int) as boxes, case when s < 4 then -1.0 when s < 9 and s + 3 > 5 then 9.0 when s + 3 > 10 then 19.0 end::double as "left" from s"""
+
+NOISE = ("-Punkt", "##Titel text", "a-b", "x_x001E_y", "* frei", "\n+++Drei")
+
+
+def d_neutralize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = evaluate.pick(NOISE, F.col("c_custkey"))
+    return _read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("<"), text.neutralize(said), F.lit(">")).alias("text"), (F.length(text.neutralize(said)) == F.length(said)).alias("same_length"))
+
+
+D_NEUTRALIZE = "select c_custkey, '<' || [' Punkt', '  Titel text', 'a-b', 'x       y', '* frei', chr(10) || '   Drei'][c_custkey % 6 + 1] || '>' as text, true as same_length from customer"
+
+GATED = (
+    ("LOCATION", "abdeckung", "SpacyRecognizer", 0.85, True), ("PERSON", "abdeckung", "SpacyRecognizer", 0.85, False), ("PERSON", "UI_Label", "propagation", 0.85, True), ("PERSON", "BP-002", "whole_cell_override", 0.8, False),
+    ("NER_MISC", "CAPEX", "GLiNER", 0.9, False), ("NER_MISC", "CAPEX", "GLiNER", 0.5, True), ("DATE_TIME", "a_1", "", 0.5, True), ("IBAN_CODE", "ab", "", 0.5, False),
+)
+
+
+def d_precision_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.pmod(F.col("c_custkey"), F.lit(len(GATED))) + 1
+    field = lambda k: F.element_at(F.array(*[F.lit(g[k]) for g in GATED]), n.cast("int"))
+    f = detect.finding(F.lit(0), F.lit(1), field(0), field(1), field(3), field(2))
+    return _read(spark, sf_dir, "customer").select("c_custkey", detect.gate(f).alias("rejected"))
+
+
+D_GATE = f"select c_custkey, [{', '.join(str(g[4]).lower() for g in GATED)}][c_custkey % {len(GATED)} + 1] as rejected from customer"
+
+
+def d_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = evaluate.pick(("PERSON", "IBAN_CODE", "CUSTOM"), F.col("l_partkey"))
+    f = detect.changed(detect.finding(F.lit(0), F.lit(1), kind, F.lit("x"), F.col("l_discount") * 10, ""), validated=F.when(F.col("l_suppkey") % 3 == 0, False))
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", detect.passes(f, sensitivity=0.1).alias("kept"))
+
+
+D_THRESHOLD = "select l_orderkey, l_linenumber, l_suppkey % 3 = 0 or l_discount * 10 >= greatest(0.0::double, [0.6::double, 0.4::double, 0.5::double][l_partkey % 3 + 1] - 0.1::double) as kept from lineitem"
+
+
+def e_document_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One language for each source's documents, counted unit by unit."""
+    from .scan import with_language
+
+    units = _read(spark, sf_dir, "documents").select(F.col("lang").alias("doc_id"), F.col("doc_id").cast("string").alias("unit_id"), F.col("doc_id").alias("unit_ord"), "text")
+    return with_language(units).select("doc_id", F.col("lang").alias("found"), "lang_confident").distinct()
+
+
+def e_cell_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scan import cell_language
+
+    return _read(spark, sf_dir, "documents").select("doc_id", cell_language(F.col("text"), F.lit("sheet")).alias("found"))
+
+
+E_CELL = E_LANGUAGE.replace("select doc_id, case when de >= en", "select s.doc_id, case when length(d.text) >= 40 and greatest(de, en) > 0 and greatest(de, en) >= f and greatest(de, en) >= greatest(1, least(de, en)) * 1.5 then case when de >= en").split(" as lang")[0] + " else 'sheet' end as found from s join documents d using (doc_id)"
+
+
+def f_header_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding over header and value, on the value's side."""
+    header = F.when(F.col("n_nationkey") % 2 == 0, "Land")
+    whole = document.header_context(header, F.col("n_name"))
+    found = F.array(detect.finding(F.lit(2), F.length(whole), "X", F.substring(whole, F.lit(3), F.length(whole)), 0.5, "p")).cast(detect.FINDINGS)
+    return _read(spark, sf_dir, "nation").select("n_nationkey", whole.alias("text"), F.explode(document.clip(found, header)).alias("f")).select("n_nationkey", "text", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"), F.col("f.value").alias("value"))
+
+
+F_HEADER = "select n_nationkey, case when n_nationkey % 2 = 0 then 'Land: ' else '' end || n_name as text, case when n_nationkey % 2 = 0 then 0 else 2 end as start_at, length(n_name)::int as end_at, case when n_nationkey % 2 = 0 then n_name else n_name[3:] end as value from nation"
+
+
+def f_whole_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a people column, values of a topical one, as the scan of a wide table finds them."""
+    found = document.whole_cells(F.col("header"), F.col("text"), detect.none(), F.lit(False))
+    cells = _wide(spark, sf_dir).where("header in ('Kundenname', 'Abteilung')").select("unit_id", F.explode_outer(found).alias("f")).where("f is not null")
+    return cells.select("unit_id", F.col("f.entity_type").alias("entity_type"), F.col("f.value").alias("value"), F.col("f.score").alias("score"), F.col("f.source").alias("source"))
+
+
+F_WHOLE = f"""
+with n as (select c_custkey n, {_listed(list(evaluate.GIVEN))}[c_custkey % 10 + 1] || ' ' || {_listed(list(evaluate.SURNAMES))}[c_custkey // 10 % 10 + 1] || chr((97 + c_custkey // 100 % 26)::int) || chr((97 + c_custkey % 26)::int) p, c_mktsegment m from customer)
+select 'table!C' || (n + 1) as unit_id, 'PERSON' as entity_type, p as value, 0.8::double as score, 'whole_cell_override' as source from n union all
+select 'table!D' || (n + 1), 'DEPARTMENT', m, 0.9::double, 'topical_header' from n"""
+
+
+def g_column_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _wide(spark, sf_dir)
+    found = cells.where("col = 'B' or (col = 'C' and row % 2 = 0)").select("sheet", "col")
+    return review.column_summary(cells, found)
+
+
+G_COLUMNS = f"""
+with n as (select min(c_custkey) k from customer where c_custkey >= 1), c as (select count(*) c, count(*) filter (where c_custkey % 2 = 1) o from customer),
+p as (select {_listed(list(evaluate.GIVEN))}[k % 10 + 1] || ' ' || {_listed(list(evaluate.SURNAMES))}[k // 10 % 10 + 1] || chr((97 + k // 100 % 26)::int) || chr((97 + k % 26)::int) p from n),
+first_ as (select c_mktsegment, c_name from customer where c_custkey >= 1 order by c_custkey limit 1)
+select 'table' as sheet, col, header, sample, pii_count, name_override from (
+ select 'B' col, 'Erfasst_durch' header, p as sample, c as pii_count, false as name_override from p, c union all select 'C', 'Kundenname', p, o, true from p, c union all
+ select 'D', 'Abteilung', c_mktsegment, 0, false from first_ union all select 'E', 'Kennung', c_name, 0, false from first_ union all
+ select 'A', 'c_custkey', null, 0, false where exists (select 1 from customer where c_custkey >= 10000))"""
+
+
+def g_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the export by bucket."""
+    groups = _plain_groups(spark, sf_dir)
+    none_missed = review.possible_misses(tables.texts(_read(spark, sf_dir, "documents").limit(0)), _findings(spark, sf_dir).withColumn("unit_id", F.lit("u")).limit(0), BIC_CODES)
+    return review.export_rows(groups, none_missed).groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("count").alias("occurrences"))
+
+
+G_EXPORT = _G_CORROBORATED + " select case when demoted then 'demoted' else 'flagged' end as bucket, count(*) as rows, sum(count)::bigint as occurrences from h group by 1"
+
+
+def k_erase_keeps_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After the last number of a label was erased, the next value gets a new one."""
+    _, mapping = _minted(spark, sf_dir)
+    last = mapping.entries.where("label = 'IBAN'").count()
+    more = spark.sql("select 'IBAN_CODE' as entity_type, 'new' as value, named_struct('a', 1) as at")
+    return mapping.erase([f"IBAN_{last}"]).mint(more).entries.where("label = 'IBAN'").select("placeholder", "original_value")
+
+
+K_ERASE = _LETTERS + _MINTED + ", c as (select count(*) n from x where label = 'IBAN') select placeholder, original_value from x, c where label = 'IBAN' and placeholder <> 'IBAN_' || n union all select 'IBAN_' || (n + 1), 'new' from c"
+
+
+def k_safe_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    link = F.concat(F.lit("mailto:"), F.regexp_replace("c_name", "#", ""), F.lit("@example.com"))
+    return _read(spark, sf_dir, "customer").select("c_custkey", pseudonymize.safe_link(link, F.lit("[EMAIL_1]")).alias("link"), pseudonymize.safe_link(F.lit("https://a.b/c"), F.lit("https://[LINK_2]/c")).alias("kept"))
+
+
+K_LINKS = "select c_custkey, 'mailto:%5BEMAIL_1%5D' as link, 'https://%5BLINK_2%5D/c' as kept from customer"
+
+
+def l_phantoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the places of ERSON and PERSON_1 in tokens and in words: which are inside of a token."""
+    said = evaluate.pick(("see [PERSON_1] x", "see PERSON_1 xx", "a [PERSON_1] bb"), F.col("c_custkey"))
+    part, whole = F.position(F.lit("ERSON"), said) - 1, F.position(F.lit("PERSON_1"), said) - 1
+    return _read(spark, sf_dir, "customer").select("c_custkey", verify.is_phantom(said, part, part + 5).alias("part"), verify.is_phantom(said, whole, whole + 8).alias("whole"))
+
+
+L_PHANTOMS = "select c_custkey, c_custkey % 3 <> 1 as part, false as whole from customer"
+
+
+def m_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship's mail addresses, from documents read as a stream to its end."""
+    import uuid
+
+    from ..streaming import detection
+
+    schema = _read(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(f"{sf_dir}/documents.parquet*")
+    units = tables.texts(stream).withColumn("lang", F.lit("en"))
+    rows = detection.findings(units, [Rule("EMAIL_ADDRESS", EMAIL, 1.0, "email", case_sensitive=True)]).select("doc_id", "value")
+    name = f"found_{uuid.uuid4().hex}"
+    detection.run_once(rows.writeStream.format("memory").queryName(name).outputMode("append"))
+    return spark.table(name)
+
+
+M_STREAMING = f"select doc_id::varchar as doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) as value from documents"
+
 _ALL: dict[str, tuple[Query, str | None]] = {
     "flagship_entities": (flagship, FLAGSHIP),
     "a_unpivot_customer": (a_unpivot_customer, A_UNPIVOT),
@@ -642,6 +817,21 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "l_planted_recall": (l_planted_recall, L_RECALL),
     "l_scan_documents": (l_scan_documents, None),
     "l_round_trip": (l_round_trip, L_ROUND_TRIP),
+    "a_cell_coercion": (a_cell_coercion, A_COERCION),
+    "a_boxes_for_span": (a_boxes_for_span, A_BOXES),
+    "d_neutralize": (d_neutralize, D_NEUTRALIZE),
+    "d_precision_gate": (d_precision_gate, D_GATE),
+    "d_threshold": (d_threshold, D_THRESHOLD),
+    "e_document_language": (e_document_language, None),
+    "e_cell_language": (e_cell_language, E_CELL),
+    "f_header_context": (f_header_context, F_HEADER),
+    "f_whole_cells": (f_whole_cells, F_WHOLE),
+    "g_column_summary": (g_column_summary, G_COLUMNS),
+    "g_export": (g_export, G_EXPORT),
+    "k_erase_keeps_numbers": (k_erase_keeps_numbers, K_ERASE),
+    "k_safe_links": (k_safe_links, K_LINKS),
+    "l_phantoms": (l_phantoms, L_PHANTOMS),
+    "m_streaming": (m_streaming, M_STREAMING),
 }
 
 

@@ -96,6 +96,9 @@ def scan(units: DataFrame, config: Config | None = None, codes: list[str] | None
         if has_cells:
             known = known.unionByName(document.topical_seeds(lang, config.topical, config.topical_terms)).distinct()
         joined = document.with_seeds(joined, materialized(known))
+    joined = document.with_proprietary(joined, config.vocabulary)
+    if "kind" in units.columns:
+        joined = joined.withColumn("found", F.when(F.col("kind") == "sheet_title", document.title_findings(F.col("found"))).otherwise(F.col("found")))
     few = F.when(F.size("found") > 1, resolved("found", "text")).otherwise(F.col("found"))
     found = materialized(joined.withColumn("found", F.array_distinct("found")).withColumn("found", few))
     findings = detect.rows(found)
