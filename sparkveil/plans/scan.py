@@ -55,8 +55,9 @@ def sheet_languages(cells: DataFrame, limit: int = 400) -> DataFrame:
 
 def cell_language(value: Column, sheet: Column) -> Column:
     """A long cell's own language if it is plain, else its sheet's."""
-    own = text.language(value)
-    return F.when((F.length(value) >= 40) & own["confident"], own["lang"]).otherwise(sheet)
+    # named once: each mention of an expression would be worked out on its own
+    sure = F.element_at(F.transform(F.array(text.language(value)), lambda own: F.when(own["confident"], own["lang"])), 1)
+    return F.coalesce(F.when(F.length(value) >= 40, sure), sheet)
 
 
 def scan(units: DataFrame, config: Config | None = None, codes: list[str] | None = None, extra: Column | None = None) -> ScanFrames:
