@@ -29,8 +29,11 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-STRICT = ("porn", "porno", "xxx", "hentai", "camgirls", "milf", "nsfw", "warez", "keygen", "phishing")
-SOFT = ("adult", "bet", "bets", "betting", "bonus", "casino", "crack", "dating", "escort", "free", "jackpot", "loan", "loans", "nude", "pharma", "pills", "poker", "sex", "sexy", "slots", "torrent", "viagra", "win")
+STRICT = ("adult", "camgirls", "hentai", "keygen", "malware", "milf", "nsfw", "phishing", "porn", "porno", "spam", "warez", "xxx")
+SOFT = (
+    "ads", "affiliate", "bet", "bets", "betting", "bonus", "casino", "cheap", "clicks", "crack", "dating", "deals", "discount", "escort", "free", "jackpot", "loan", "loans", "nude", "pharma", "pills",
+    "poker", "popup", "replica", "sex", "sexy", "slots", "torrent", "track", "tracker", "tracking", "viagra", "win",
+)
 SOFT_LIMIT = 2
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
