@@ -55,18 +55,24 @@ def _further(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> list[int]:
-    """The words of a text's fingerprint, unsigned."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 of each of a text's word shingles, in its order and with repetitions; none of a blank text."""
     said = (text or "").encode().lower().split()
     if not said:
-        return [0] * words
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(said), xxhash.xxh64_intdigest
     if len(said) <= shingle:
-        hashes = np.array([digest(joined, 42)], np.uint64)
-    else:
-        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist()
-        starts, ends = [0, *[g + 1 for g in gaps]], [*gaps, len(joined)]
-        hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64)
+        return np.array([digest(joined, 42)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist()
+    starts, ends = [0, *[g + 1 for g in gaps]], [*gaps, len(joined)]
+    return np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> list[int]:
+    """The words of a text's fingerprint, unsigned."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return [0] * words
     out = []
     for _ in range(words):
         ones = np.zeros(64, np.int64)
@@ -161,7 +167,7 @@ class Plan:
     crowd: int
     #: The bits of a key below its kind.
     width: int
-    #: Of each kind: the word, and the segment that its chain starts at.
+    #: Of each kind: the word, and the segment that its chain starts at. None: only the total counts.
     kinds: tuple[tuple[int, int], ...]
     #: Whether rows have their kind in a column; else it is what stands above a key's width.
     told: bool = False
@@ -170,7 +176,7 @@ class Plan:
 def _ties(keys: np.ndarray, kinds: np.ndarray, marks: np.ndarray, plan: Plan) -> np.ndarray:
     """Rows sorted by key: for each row the first row that links tie it to."""
     labels, at, step = np.arange(len(keys)), np.arange(len(keys)), 0
-    word, start = (np.array([k[i] for k in plan.kinds])[kinds] for i in (0, 1))
+    word, start = (np.array([k[i] for k in plan.kinds])[kinds] for i in (0, 1)) if plan.kinds else (None, None)
     while True:
         step += 1
         at = at[at + step < len(keys)]
@@ -179,7 +185,7 @@ def _ties(keys: np.ndarray, kinds: np.ndarray, marks: np.ndarray, plan: Plan) ->
             return labels
         open_ = at[labels[at] != labels[at + step]]
         apart = marks[open_] ^ marks[open_ + step]
-        near = viable(apart[np.arange(len(open_)), word[open_]], start[open_], plan.distance)
+        near = viable(apart[np.arange(len(open_)), word[open_]], start[open_], plan.distance) if plan.kinds else np.arange(len(open_))
         if plan.words > 1:
             near = near[np.bitwise_count(apart[near]).sum(axis=1, dtype=np.int64) <= plan.total]
         _tie(labels, open_[near], open_[near] + step)
@@ -249,6 +255,13 @@ def link(nodes: DataFrame, distance: int = DISTANCE, words: int = 1, total: int
         short = width - sum(n for _, n in ranges)
         keys.append(F.shiftleft(_key(F.col(f"m{w}"), kind, ranges), short))
     plan = Plan(distance, words, 64 * words if total is None else total, crowd, width, tuple((w, start) for w, start, _ in layouts))
+    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *_names(words))
+    return linked(nodes, keyed, plan)
+
+
+def linked(nodes: DataFrame, keyed: DataFrame, plan: Plan) -> DataFrame:
+    """u, v: edges that tie together what links tie together, of nodes (node, m0, m1, ...) that meet under a key (key, node, m0, ...)."""
+    words, distance, crowd = plan.words, plan.distance, plan.crowd
     own = _names(words)
     edge = "u long, v long, kind int, crowded boolean"
 
@@ -257,7 +270,6 @@ def link(nodes: DataFrame, distance: int = DISTANCE, words: int = 1, total: int
         sorted_ = keyed.select("key", "node", *own, *kind).repartition("key").sortWithinPartitions("key", "node")
         return sorted_.mapInArrow(partial(_tie_batches, plan=how), edge)
 
-    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *own)
     tied = cut(compare(keyed, plan))
     edges = tied.where("not crowded").select("u", "v")
     crowded = tied.where("crowded").select(F.col("u").alias("node"), F.col("v").alias("key"), "kind")
