@@ -667,6 +667,16 @@ def e_document_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_language(units).select("doc_id", F.col("lang").alias("found"), "lang_confident").distinct()
 
 
+E_DOCUMENT = f"""
+with w as (select lang as doc_id, regexp_extract_all(lower(text), '[a-zäöüß]+') w from documents),
+u as (select doc_id, len(w) n, len(list_filter(w, lambda x: list_contains({_listed(text.GERMAN)}, x))) de, len(list_filter(w, lambda x: list_contains({_listed(text.ENGLISH)}, x))) en,
+  len(list_filter(w, lambda x: regexp_matches(x, '[äöüß]'))) um from w),
+c as (select doc_id, sum(de) de, sum(en) en, sum(um) um, case when sum(n) <= {text.SHORT_WORDS} then {text.FLOOR_SHORT} else {text.FLOOR} end f from u group by doc_id),
+s as (select doc_id, de + least(um, f - 1) de, en, f from c),
+t as (select *, greatest(de, en) >= f and greatest(de, en) >= greatest(1, least(de, en)) * {text.MARGIN} sure from s)
+select doc_id, case when sure and de < en then 'en' else 'de' end as found, sure as lang_confident from t"""
+
+
 def e_cell_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .scan import cell_language
 
@@ -822,7 +832,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "d_neutralize": (d_neutralize, D_NEUTRALIZE),
     "d_precision_gate": (d_precision_gate, D_GATE),
     "d_threshold": (d_threshold, D_THRESHOLD),
-    "e_document_language": (e_document_language, None),
+    "e_document_language": (e_document_language, E_DOCUMENT),
     "e_cell_language": (e_cell_language, E_CELL),
     "f_header_context": (f_header_context, F_HEADER),
     "f_whole_cells": (f_whole_cells, F_WHOLE),

@@ -25,16 +25,10 @@ class ScanFrames:
 
 
 def with_language(units: DataFrame, languages: tuple[str, ...] = ("de", "en")) -> DataFrame:
-    """units with `lang`, one for each document: that of a sample of its units, the first configured one if unsure.
-
-    A document of up to 200,000 characters is taken whole, a longer one unit by unit at a stride.
-    """
-    facts = units.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("k"))
-    stride = F.when(F.col("n") <= 200_000, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.col("k") / 500)).cast("int"))
-    some = units.join(facts.select("doc_id", stride.alias("stride")), "doc_id").where(F.pmod("unit_ord", "stride") == 0)
+    """units with `lang`, one for each document: that of all its units, the first configured one if unsure."""
     # marker words are counted in each unit and added up: no document is put together in one task
     words = lambda listed: F.size(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-zäöüß]+)"), F.lit(1)), listed))
-    counted = some.groupBy("doc_id").agg(
+    counted = units.groupBy("doc_id").agg(
         F.sum(words(lambda w: F.lit(True))).alias("n"), F.sum(words(lambda w: w.isin(*text.GERMAN))).alias("de"), F.sum(words(lambda w: w.isin(*text.ENGLISH))).alias("en"), F.sum(words(lambda w: w.rlike("[äöüß]"))).alias("um")
     )
     floor = F.when(F.col("n") <= text.SHORT_WORDS, text.FLOOR_SHORT).otherwise(text.FLOOR)

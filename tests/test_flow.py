@@ -182,3 +182,12 @@ def test_config(tmp_path):
 def test_seeds(spark):
     df = spark.createDataFrame([("d", "PERSON", "Herr Hans von Meier\nX"), ("d", "PERSON", "Bo"), ("d", "LOCATION", "Berlin")], "doc_id string, entity_type string, value string")
     assert {r["seed"] for r in document.seeds(df).collect()} == {"Hans von Meier", "Meier"}
+
+
+def test_language_counts_every_unit(spark):
+    from sparkveil.plans.scan import with_language
+
+    # more than 200,000 characters in 1,000 units: those of even place are English, the others German and more
+    rows = [("d", str(k), k, ("the and of to " if k % 2 == 0 else "der das und sie nicht ein eine ") + "x" * 250) for k in range(1000)]
+    units = spark.createDataFrame(rows, "doc_id string, unit_id string, unit_ord int, text string")
+    assert {(r["lang"], r["lang_confident"]) for r in with_language(units, ("en", "de")).collect()} == {("de", True)}
