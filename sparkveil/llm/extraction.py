@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Set
 from dataclasses import dataclass
 from functools import lru_cache, partial
 
@@ -105,6 +106,8 @@ BOILER_TAGS = frozenset("aside button dialog fieldset footer form header label l
 UNSEEN = frozenset("applet audio canvas embed head iframe math noembed noframes noscript object script style svg template textarea title video".split())
 #: Of these, those in which no other tag is a tag.
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
+#: Of these, those that a slash before the end of their tag closes.
+SELF_CLOSING = frozenset("math svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that name boilerplate.
 BOILER_NAMES = frozenset(
@@ -213,7 +216,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
         if tag in UNSEEN and not closing and tag not in VOID:
             if tag in BLOCK_TAGS:
                 flush()
-            at = _after(page, at, tag)
+            if tag not in SELF_CLOSING or not found[3].endswith("/"):
+                at = _after(page, at, tag, frozenset() if tag in RAW else {o[0] for o in opened})
         elif tag == "a":
             in_link = 0 if closing else 1
         elif tag == "br":
@@ -243,12 +247,13 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
     return out
 
 
-def _after(page: str, at: int, tag: str) -> int:
-    """The place behind the element `tag` that was opened before `at`."""
+def _after(page: str, at: int, tag: str, above: Set[str] = frozenset()) -> int:
+    """The place behind the element `tag` that was opened before `at`; if it is never closed, where an element of `above` ends."""
     if tag in RAW:
         found = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
         return found.end() if found else len(page)
     depth = 1
+    inner: Counter[str] = Counter()  # what was opened inside
     while found := _TAG.search(page, at):
         at = found.end()
         name = (found[2] or "").lower()
@@ -260,6 +265,10 @@ def _after(page: str, at: int, tag: str) -> int:
             at = _after(page, at, name)
         elif tag == "head" and name == "body" and not found[1]:
             return found.start()
+        elif name in above:
+            inner[name] += -1 if found[1] else 1
+            if inner[name] < 0:  # the parent ends, so its child does
+                return found.start()
     return len(page)
 
 

@@ -51,3 +51,11 @@ def test_driver_pages(spark, sf):
         article = re.search(r"<article>(.*)</article>", pages[r["page_id"]], re.S)[1].replace("<br>", " ")
         parts = (" ".join(html.unescape(re.sub("<[^>]*>", "", p)).split()) for p in re.split("</?(?:p|h1)>", article))
         assert r["text"] == "\n".join(p for p in parts if p)
+
+
+def test_unseen_elements_that_are_not_closed():
+    for opened in ("<svg width='1'/>", "<math/>", "<svg><path/></svg>"):
+        assert extraction.extract(page(f"<p>One.</p>{opened}<p>Two.</p>")) == "One.\nTwo.", opened
+    for opened in ("<video src='x'>", "<object><div>old</div>", "<noscript>", "<canvas>", "<svg>"):
+        assert extraction.extract(page(f"<p>One.</p><div>{opened}</div><p>Two.</p>")) == "One.\nTwo.", opened
+    assert extraction.extract(page("<p>One.</p><video><div>Play</div></video><p>Two.</p>")) == "One.\nTwo."
