@@ -6,7 +6,8 @@ about `group_size`; in each group they go, longest first, into the leftmost bin
 the bins' free space finds that bin in a logarithmic number of steps.
 
 The vocabulary is read with tiktoken, which gives the same ids as the tokenizers file of that vocabulary (tests
-compare them) in a fifth of its CPU time. Strings of special tokens in a text are ordinary text.
+compare them) in a fifth of its CPU time. Texts that hold an added token of that file (`<|endoftext|>`) go to
+tokenizers itself, which cuts them there.
 
 Defined results: a null or empty text is its end id alone; rows with equal or null ids are packed one by one; an
 empty table gives no rows. Columns other than the id and the text are not read.
@@ -48,23 +49,29 @@ def encoder(path: str | None = None):
 
 @lru_cache(maxsize=2)
 def plain_encoder(path: str | None = None):
-    """The tokenizers encoder of the same vocabulary, for the few texts that the faster one refuses."""
+    """The tokenizers encoder of the same vocabulary, for the few texts that the faster one refuses or would read otherwise."""
     import public_tokenizers as public
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path or public.path(VOCABULARY.replace(".tiktoken", ".json")))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path or public.path(VOCABULARY.replace(".tiktoken", ".json")))
+
+
+@lru_cache(maxsize=2)
+def added_tokens(path: str | None = None) -> tuple[str, ...]:
+    """What the tokenizers file takes out of a text before its merges."""
+    return tuple(t.content for t in plain_encoder(path).get_added_tokens_decoder().values())
 
 
 def encode(text: str, path: str | None = None) -> list[int]:
     """Token ids of a whole text."""
-    try:
-        return encoder(path).encode_ordinary(text)
-    except BaseException as e:  # its pattern engine gives up on blanks by the hundred thousand, as a panic
-        if type(e).__name__ != "PanicException":
-            raise
-        return plain_encoder(path and path.replace(".tiktoken", ".json")).encode(text, add_special_tokens=False).ids
+    plain = path and path.replace(".tiktoken", ".json")
+    if not any(t in text for t in added_tokens(plain)):
+        try:
+            return encoder(path).encode_ordinary(text)
+        except BaseException as e:  # its pattern engine gives up on blanks by the hundred thousand, as a panic
+            if type(e).__name__ != "PanicException":
+                raise
+    return plain_encoder(plain).encode(text, add_special_tokens=False).ids
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, end: int, path: str | None) -> Iterator[pa.RecordBatch]:

@@ -1,20 +1,28 @@
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from sparkveil.llm import packing
 
 DOCS = "doc_id long, text string, length string, offset string, _row long"
 
 
+@lru_cache(maxsize=1)
+def untouched():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def ids_by_tokenizers(text):
-    return packing.plain_encoder().encode(text, add_special_tokens=False).ids
+    return untouched().encode(text, add_special_tokens=False).ids
 
 
 def test_same_ids_as_tokenizers():
-    for text in ["", "Hello, wörld!  It's 3 o'clock\n\n\tyes", "<|endoftext|> is text", "\U0001f600 漢字\u0301", "a" * 5000, " " * 3000 + "x", "e\u0301\r\n\x00\x1f"]:
+    for text in ["", "Hello, wörld!  It's 3 o'clock\n\n\tyes", "<|endoftext|> is text", "a <|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext|", "<|endoftext|>" + "word " * 4000, "\U0001f600 漢字\u0301", "a" * 5000, " " * 3000 + "x", "e\u0301\r\n\x00\x1f"]:
         assert packing.encode(text) == ids_by_tokenizers(text)
 
 
