@@ -27,11 +27,13 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, start_rows, table
+from .common import cut, remove, shared_dir, start_rows, table
 
 LEAST_BYTES = 1000
-#: 2026-01-01, in seconds; a page without a capture time was captured page_id seconds later.
+#: 2026-01-01, in seconds; a page without a capture time was captured page_id seconds later, or the rest of that by
+#: SECONDS, which keeps any id's date within four digits of a year (up to 2057). The id itself has its own field.
 BASE_TIME = 1_767_225_600
+SECONDS = 1_000_000_000
 #: Index rows that one task merges, about.
 RANGE_ROWS = 100_000
 #: Revisits up to this number (some 20 MB) are sent to all tasks; more of them are joined by a shuffle of the pages.
@@ -134,7 +136,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, broadca
 
     folder: a URI that driver and executors share.
     """
-    at = F.coalesce(F.col("page_id"), F.lit(0)) + BASE_TIME
+    at = F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(SECONDS)) + BASE_TIME
     placed = roles(pages, least_bytes, broadcast_rows).select(url_key(F.col("url")).alias("url_key"), at.alias("captured_at"), "page_id", "url", "html", "refers_to")
     return cut(placed.sortWithinPartitions("url_key", "captured_at", "page_id").mapInArrow(partial(_write_batches, folder=folder), "file string, records long"))
 
@@ -303,14 +305,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     files = write(table(spark, sf_dir, "pages"), folder)
     merged = merge(read(files, folder))  # written to the shared folder, so the archives may go
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, folder)
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "history_order")
 
 
 ORACLE = f"""
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d,
-    coalesce(url, '') as u, coalesce(page_id, 0) + {BASE_TIME} as captured_at from pages),
+    coalesce(url, '') as u, (coalesce(page_id, 0) % {SECONDS} + {SECONDS}) % {SECONDS} + {BASE_TIME} as captured_at from pages),
 k as (select *, max(page_id) over (partition by d) as keeper from p),
 r as (select *, n >= {LEAST_BYTES} and keeper is not null and page_id is distinct from keeper as again,
   case when u = '' then '' else array_to_string(list_reverse(string_split(lower(regexp_extract(u, '(?s)^[^/?#]*://([^/?#]*)', 1)), '.')), ',') || ')'

@@ -47,6 +47,7 @@ def want(rows):
 def test_pages(spark, tmp_path):
     big = "<p>" + "ö" * 600
     rows = [(k, f"http://h{k % 3}.example.com/p{k % 5}#x", big if k % 3 == 0 else f"page {k}") for k in range(200)]
+    rows += [(10**12, "big", "large id"), (2**63 - 1, "most", "w" * 1500), (-(10**11), "less", "w" * 1500), (-(2**63), "least", None), (251_635_075_200, "y", "w" * 1500)]
     rows += [(300, None, None), (301, "", "x" * 999), (302, "http://a", "x" * 999), (303, "a", "y" * 1000), (304, "b", "y" * 1000), (304, "b", "y" * 1000), (None, "c", "y" * 1000), (None, "c", "z" * 2000), (None, "d", "z" * 2000)]
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], PAGES)
     folder = f"file://{tmp_path}/archives"
