@@ -29,6 +29,8 @@ from .common import crc32_text, table
 class Settings:
     #: Bound of the labelled rows that the model is fitted on, for each label.
     per_label: int = 1500
+    #: Bound of what the fit reads of each of them: a window of so many characters, at a place drawn from its id.
+    fit_chars: int = 20_000
     #: Of these, every n-th calibrates; the others make the dictionaries.
     calibrate_every: int = 3
     dict_bytes: int = 65536
@@ -111,7 +113,10 @@ def fit(good: list[str], bad: list[str], good_rows: int, bad_rows: int, settings
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on at most settings.per_label rows of each label outside the held-out third, chosen by a hash of their id."""
+    """Fit on at most settings.per_label rows of each label outside the held-out third, chosen by a hash of their id.
+
+    The driver gets 2 * per_label * fit_chars characters at most (60 million by the defaults).
+    """
     lab = labels.where("quality in (0, 1)").where(crc32_text(F.col("doc_id")) % 3 != 1).select("doc_id", "quality")
     counts = {r["quality"]: r["n"] for r in lab.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
@@ -120,6 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         chosen = some if chosen is None else chosen.unionByName(some)
     chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality"))  # at most 2 * per_label rows
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    room = F.greatest(F.length("text") - settings.fit_chars, F.lit(0))
+    texts = texts.withColumn("text", F.substr("text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), room + 1) + 1).cast("int"), F.lit(settings.fit_chars)))
     rows = sorted(((r["doc_id"], r["quality"], r["text"] or "") for r in texts.collect()), key=lambda r: (hash(r[0]) * 2654435761 % 2**32, r[0]))
     return fit([r[2] for r in rows if r[1] == 1], [r[2] for r in rows if r[1] == 0], counts.get(1, 0), counts.get(0, 0), settings)
 

@@ -1,5 +1,8 @@
+import math
 import zlib
+from itertools import count
 
+import zstandard
 from sparkveil.llm import quality
 
 GOOD = [" ".join(f"the {a} of {b} and that {c}" for a, b, c in zip(f"{k}alpha beta gamma delta".split(), "house tree river stone".split(), "runs stays falls goes".split())) + f" number {k}." for k in range(80)]
@@ -48,3 +51,42 @@ def test_held_out_accuracy(spark, sf):
     assert len(bad) > 100
     assert (good.predicted == 1).mean() > 0.98 and (bad.predicted == 0).mean() > 0.9
     assert all(bool(h) == (zlib.crc32(str(d).encode()) % 3 == 1) for d, h in zip(got.doc_id, got.held_out))
+
+
+def plain_score(model, text):
+    """The score of one text, written apart from the operator: block by block, sizes by a fresh compressor each."""
+    data, s = (text or "").encode(), model.settings
+    saved = 0
+    for n in count():
+        block = data[n * s.block_bytes : (n + 1) * s.block_bytes]
+        if not block:
+            break
+        sizes = []
+        for words in (model.bad, model.good):
+            made = zstandard.ZstdCompressor(level=s.level, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(len(made.compress(block)))
+        saved += sizes[0] - sizes[1]
+    x = (saved + s.shrink_bytes * model.mean) / (len(data) + s.shrink_bytes)
+    return 1 / (1 + math.exp(-min(40, max(-40, model.slope * x + model.offset))))
+
+
+def test_scores_against_a_plain_version(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "x" * 513), (10**6 + 3, "ö" * 4000)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(odd)
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    got = {r["doc_id"]: r["score"] for r in quality.score(rows, model).collect()}
+    assert len(got) == len(texts)
+    for i, text in texts.items():
+        assert abs(got[i] - plain_score(model, text)) < 1e-9, i
+
+
+def test_fit_reads_a_bounded_window(spark):
+    rows = [(k, ("good words of sense " if k % 2 else "$$$ ### %%% ") * 5000) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k, _ in rows], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels, quality.Settings(fit_chars=600))
+    assert all(0 <= plain_score(model, t) <= 1 for _, t in rows)
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert all((scores[k] >= 0.5) == bool(k % 2) for k in scores)
