@@ -5,8 +5,8 @@ equal. The positions of a window are dealt in turn into slack + 2 classes; each
 whichever `slack` positions are substituted, some mask sees none of them. Every window of a text is hashed under every
 mask and joined to the hashes of the items' windows; at a hit the two windows are compared token by token.
 
-Items shorter than the span are sought whole (all tokens equal) if they have at least `least` tokens; shorter ones are no
-evidence and never match. Tokens are runs of letters, marks and digits of the lower-cased text.
+Items shorter than the span are sought whole: with one substitution if they have at least `tolerant` tokens, with none if they
+have at least `least`; shorter ones are no evidence, as a phrase of four words stands in clean text too, and never match. Tokens are runs of letters, marks and digits of the lower-cased text.
 
 The items' hashes are broadcast in blocks of at most `block_windows` windows, each joined to all rows, so that a larger
 benchmark means more joins and not a larger broadcast. Text windows are made, hashed and joined inside one generated
@@ -28,6 +28,7 @@ from .common import cut, table
 SPAN = 13
 SLACK = 2
 LEAST = 5
+TOLERANT = 7
 BLOCK_WINDOWS = 20_000
 BREAK = r"[^\p{L}\p{M}\p{Nd}]+"
 
@@ -74,6 +75,11 @@ def _equal(span: int) -> Column:
     return same
 
 
+def allowed(length: int, span: int = SPAN, slack: int = SLACK, tolerant: int = TOLERANT) -> int:
+    """Substitutions that a window of `length` tokens may have."""
+    return slack if length >= span else min(slack, 1) if length >= tolerant else 0
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, names: list[str], span: int = SPAN, slack: int = SLACK, least: int = LEAST, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """names, item_id, overlap (most equal tokens of a window), doc_start (first token of the first such window)."""
     items = cut(benchmark.select("item_id", tokens(F.col("text")).alias("words")))
@@ -81,15 +87,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, names: list[str], span: int = S
     texts = docs.select(*names, tokens(F.col("text")).alias("words"))
     found = None
     for length in [*sorted(short), span]:
-        allowed = slack if length == span else 0
+        spare = allowed(length, span, slack)
         own = items if length == span else items.where(F.size("words") == length)
-        seeds = _windows(own, ["item_id"], length, allowed).select("item_id", F.slice("words", F.col("at") + 1, length).alias("item_words"), "hash")
+        seeds = _windows(own, ["item_id"], length, spare).select("item_id", F.slice("words", F.col("at") + 1, length).alias("item_words"), "hash")
         seeds = cut(seeds.distinct())
-        blocks = max(1, -(-seeds.count() // (block_windows * len(masks(length, allowed)))))
+        blocks = max(1, -(-seeds.count() // (block_windows * len(masks(length, spare)))))
         for b in range(blocks):
             part = seeds if blocks == 1 else seeds.where(F.pmod(F.col("hash"), F.lit(blocks)) == b)
-            hits = _windows(texts, names, length, allowed).join(F.broadcast(part), "hash")
-            enough = F.lit(length - allowed)
+            hits = _windows(texts, names, length, spare).join(F.broadcast(part), "hash")
+            enough = F.lit(length - spare)
             verified = hits.select(*names, "item_id", "at", _equal(length).alias("overlap"), enough.alias("enough"))
             found = verified if found is None else found.unionByName(verified)
     # a condition on the overlap before this would move into the join, which would then compare every window twice
@@ -118,9 +124,9 @@ bt as (select item_id, len(w) n, unnest(w) t, unnest(range(len(w))) p from b whe
 same as (select distinct doc_id, item_id, bt.n as item_n, dt.n as doc_n, dt.p - bt.p as diag, bt.p as pos from dt join bt using (t)),
 runs as (select *, count(*) over (partition by doc_id, item_id, diag order by pos range between current row and {SPAN - 1} following) c from same),
 starts as (select s.doc_id, s.item_id, s.diag, j as pos, s.item_n, s.doc_n from (select doc_id, item_id, diag, item_n, doc_n, max(c) m from runs group by all
-   having max(c) >= least(item_n, {SPAN}) - case when item_n < {SPAN} then 0 else {SLACK} end) s, unnest(range(greatest(item_n - {SPAN}, 0) + 1)) u(j)
+   having max(c) >= least(item_n, {SPAN}) - case when item_n < {TOLERANT} then 0 when item_n < {SPAN} then 1 else {SLACK} end) s, unnest(range(greatest(item_n - {SPAN}, 0) + 1)) u(j)
    where j + diag >= 0 and j + diag + least(item_n, {SPAN}) <= doc_n),
 full_ as (select s.doc_id, s.item_id, s.diag, s.pos, s.item_n, count(e.pos) c from starts s join same e
    on e.doc_id is not distinct from s.doc_id and e.item_id is not distinct from s.item_id and e.diag = s.diag and e.pos between s.pos and s.pos + {SPAN - 1} group by all)
 select doc_id, item_id, max(c)::int as overlap, min(diag + pos)::int as doc_start from full_
-where c >= case when item_n < {SPAN} then item_n else {SPAN - SLACK} end group by doc_id, item_id"""
+where c >= case when item_n < {TOLERANT} then item_n when item_n < {SPAN} then item_n - 1 else {SPAN - SLACK} end group by doc_id, item_id"""

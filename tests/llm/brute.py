@@ -46,7 +46,7 @@ def leak(words, item, span=13, slack=2, least=5):
     span = min(span, len(item))
     if len(item) < least or len(words) < span:
         return None
-    slack = slack if span == 13 else 0
+    slack = slack if span == 13 else 1 if span >= 7 else 0
     best, first = 0, None
     for i in range(len(words) - span + 1):
         for j in range(len(item) - span + 1):

@@ -45,6 +45,7 @@ def test_against_brute_force(spark):
             words[len(words) // 2 :] = part
         docs.append((k, rng.choice([" ", ", ", "\n"]).join(w.upper() if k % 5 == 0 else w for w in words)))
     docs += [(200, "here are FIVE short -- words; of item and more"), (201, "four short words of item"), (202, "one two three four five six seven eight"), (203, None), (204, ""), (205, "word " * 3000 + items[0][1])]
+    docs += [(206, "one two three four five swapped seven eight"), (207, "one two swapped four five swapped seven eight"), (208, "five short swapped of item")]
     docs += [(1, docs[1][1]), (None, items[2][1]), (None, "nothing")]
     got = d.leaks(*frames(spark, docs, items), ["doc_id"]).collect()
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
