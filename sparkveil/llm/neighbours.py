@@ -7,8 +7,12 @@ lists whose centroid is almost as near (distance ratio) and lies on another side
 from a fixed start towards itself, visits all centroids within a distance ratio of the nearest one found, and searches
 their lists; scores are exact.
 
-A list of more than `block` vectors is cut into blocks by a hash of the id, each searched by a task of its own, so a
-list that holds a third of all vectors is many tasks. A block yields the nearest `k` for each query that looks into it.
+A list of more than `block` vectors is cut into blocks by a hash of the id, and the queries that look into it likewise, in
+blocks of `block_queries`; each pair of blocks is a task's work of its own, so a list that holds a third of all vectors, or
+that a third of all queries look into, is many pieces of work. A piece yields the nearest `k` for each of its queries.
+
+The lists are as many as a sample of that size can place (`most_lists`); past `most_lists * per_list` vectors lists grow and
+are cut into more blocks, which are all searched.
 
 Defined results: vectors that are null, empty, zero, hold a null or non-finite component, or have another dimension
 than most (ties: the smaller) take no part, neither do rows without an id; of rows that repeat an id, as queries and
@@ -39,6 +43,7 @@ class Settings:
     #: Lists: one for so many vectors, within the bounds.
     per_list: int = 4096
     least_lists: int = 64
+    #: About five sampled vectors make a centroid; a larger sample can place more lists.
     most_lists: int = 4096
     #: Vectors that a list holds on average, at least; fewer lists are made of a small table.
     least_per_list: int = 64
@@ -54,6 +59,8 @@ class Settings:
     reach: float = 1.18
     #: Vectors of a list that one task searches, at most about.
     block: int = 4096
+    #: Queries of a list that are searched together, at most about.
+    block_queries: int = 16_384
     seed: int = 20_260_103
 
 
@@ -263,11 +270,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, settings: Settings = Sett
     index = fit(_matrix(sample.column(0)), facts["n"], facts["norm2"], settings)
     placed = lambda df, queries: df.mapInArrow(partial(_place_batches, index=index, queries=queries), "list int, vec_id long, embedding array<double>")
     posted = cut(placed(fit_for, False))
-    counts = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias("blocks"))  # a row for each list, most_lists at most
-    blocks = cut(counts)
-    dealt = posted.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = placed(fit_for.where(is_query), True).join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    found = asked.groupBy("list", "block").cogroup(dealt.groupBy("list", "block")).applyInPandas(partial(_search_block, k=k), "query_id long, vec_id long, score double")
+    asked = cut(placed(fit_for.where(is_query), True))
+    # a row for each list, most_lists at most
+    blocks = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias("blocks"))
+    parts = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.block_queries).cast("int").alias("parts"))
+    sizes = F.broadcast(cut(blocks.join(parts, "list")))  # lists that no query looks into are left out
+    mine = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = posted.join(sizes, "list").select("list", "vec_id", "embedding", mine("blocks").alias("block"), each("parts").alias("part"))
+    asked = asked.join(sizes, "list").select("list", "vec_id", "embedding", each("blocks").alias("block"), mine("parts").alias("part"))
+    found = asked.groupBy("list", "block", "part").cogroup(dealt.groupBy("list", "block", "part")).applyInPandas(partial(_search_block, k=k), "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     from pyspark.sql import Window
 

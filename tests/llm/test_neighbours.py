@@ -52,10 +52,11 @@ def test_few_and_none(spark):
 def test_a_third_are_equal(spark):
     rng = np.random.RandomState(1)
     rows = [(k, [1.0] * 16 if k % 3 == 0 else rng.randn(16).tolist()) for k in range(1500)]
-    got = run(spark, rows, block=50)
-    own = [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 60]
     ids, x = [i for i, _ in rows], [np.float32(v).tolist() for _, v in rows]
-    assert own == brute.nearest(ids, x, 60, 20)
+    for parts in ({"block": 50}, {"block": 50, "block_queries": 7}):
+        got = run(spark, rows, **parts)
+        own = [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 60]
+        assert own == brute.nearest(ids, x, 60, 20)
 
 
 def test_recall_on_the_table(spark, sf):
