@@ -26,11 +26,61 @@ def test_pages_without_an_article():
 
 
 def test_odd_pages():
-    for html in (None, "", "   ", "<nav><a>x</a></nav>", "<script>var x = 1", "<", "<p", "</p></div>", "<!-- never closed", "<title>x"):
-        assert extraction.extract(html) == ("" if html not in ("<", "<p") else extraction.extract(html))
+    for html in (None, "", "   ", "<nav><a>x</a></nav>", "<script>var x = 1", "</p></div>", "<!-- never closed", "<title>x"):
+        assert extraction.extract(html) == ""
+    for html in ("<", "<p", "a < b", "<article>a <b"):  # no ">" follows: text
+        assert "".join(b.text for b in extraction.blocks(html)) == html.replace("<article>", ""), html
     deep = "<div>" * 20_000 + "<article><p>deep words</p></article>" + "</div>" * 20_000
     assert extraction.extract(deep) == "deep words"
     assert extraction.extract(page("<p>" + "long " * 200_000 + "</p>")) == ("long " * 200_000).strip()
+    assert extraction.extract(page("<p title=it's>It's one.</p><p>Don't <a href=\"x>y\">two</a>.</p><p class=\"open>Three.</p>")) == "It's one.\nDon't two.\nThree."
+
+
+def test_time_grows_with_length():
+    import time
+
+    n = 60_000
+    for html in ("<a " * n, "<a " * n + '">"', "<a \"'>" * n, '<a b=">"' * n, "<!" * n, "<div>" * n + "</section>" * n, "<div>" * n + "<svg></svg>" * n, "<script>" + "</script " * n, "<video>" * n, "<math><p>" * n, "<div class=ad>x" * n):
+        began = time.time()
+        extraction.extract(html)
+        assert time.time() - began < 10, html[:20]
+
+
+#: Labelled pages that the tree has not seen: +n for n words of main text, -n for n words that are none.
+HELD_OUT = (
+    "<nav><ul><li><a>-2</a></li><li><a>-1</a></li></ul></nav><div class='ads'>-11</div><article><h1>+7</h1><p>+3</p><p>+71</p><p>+24</p></article><footer>-14</footer>",
+    "<header><p>-5</p></header><main><h2>+4</h2><p>+61 <a>+3</a></p><ul><li>+2</li><li>+9</li></ul><p>+1</p></main><section class='comment-section'><p>-44</p><p>-7</p></section>",
+    "<article><p>+15</p><div class='advertisement'><p>-22</p></div><p>+53</p><aside>-31</aside><p>+6</p></article>",
+    "<div class='widget-header-page'><p>+61</p><p>+72</p><p>+40</p></div><p>-3</p>",
+    "<article><p class='share-price'>+36</p><p id='notice-of-motion'>+44</p><p class='promo'>-13</p></article>",
+    "<ul><li><a>-1</a></li><li><a>-3</a></li></ul><div><h1>+5</h1><p>+67</p><p>+36</p><p>+49</p></div><div class='footer'><p>-19</p></div>",
+    "<form name=all><ul><li><a>-2</a></li></ul><p>+77</p><p>+68</p><p>+54</p></form>",
+    "<article><p>+62</p><p>+30</p><ul><li><a>-6</a></li><li><a>-8</a></li><li><a>-10</a></li></ul></article>",
+    "<article><p>+2</p></article><div class='user-comments-below'><p>-100</p><p>-55</p></div>",
+    "<div id=wrapper class=with-menu><h2>+3</h2><p>+58</p><p>+47</p></div><div class='newsletter'><p>-26</p></div><div class='cookies'><p>-31</p></div>",
+    "<article><p>+40</p><p><a>-26</a></p><p>+33</p></article><dialog><p>-20</p></dialog>",
+    "<table><tr><td><a>-2</a></td></tr></table><p>+84</p><p>+39</p><p>+45</p><div class='pagination'><a>-1</a><a>-1</a></div>",
+)
+
+
+def test_held_out_pages():
+    assert len(extraction.labelled_rows()) > 300
+    rows = extraction.labelled_rows(HELD_OUT)
+    right = sum(extraction.classify(extraction.tree(), r[:-1]) == bool(r[-1]) for r in rows)
+    assert right / len(rows) >= 0.95, (right, len(rows))
+
+
+def test_the_tree_reads_words_links_and_neighbours():
+    asked = set()
+
+    def walk(node):
+        if node.feature >= 0:
+            asked.add(extraction.FEATURES[node.feature])
+            walk(node.left)
+            walk(node.right)
+
+    walk(extraction.tree())
+    assert {"words", "links", "article", "boiler", "name", "name_share"} <= asked and asked & {"words_before", "words_after"} and asked & {"links_before", "links_after"}
 
 
 def test_table(spark):
