@@ -13,8 +13,8 @@ def plain(url):
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
     text = (url or "").lower()
-    found = [w for w in urls.STRICT + urls.SOFT if re.search(rf"(?<![a-z0-9]){w}(?![a-z0-9])", text)]
-    bad = any(w in urls.STRICT for w in found) or len(found) >= 2
+    found = [n for w, n in urls.VOCABULARY.items() if re.search(rf"(?<![a-z0-9]){w}(?![a-z0-9])", text)]
+    bad = urls.LIMIT in found or len(found) >= 2
     return host, path, None, "block" if bad else "allow"
 
 
@@ -36,10 +36,27 @@ def test_verdicts(spark):
 
 
 def test_counts():
-    terms = urls.automaton(("bad",), ("soft", "soften"))
-    assert urls.count_terms("bad-bad_bad badly soft soft soften softly", terms) == (3, 2)
-    assert urls.count_terms(None, terms) == (0, 0)
-    assert urls.count_terms("anything", urls.automaton((), ())) == (0, 0)
+    terms = urls.automaton({"bad": 2, "soft": 1, "soften": 1})
+    assert urls.count_terms("bad-bad_bad badly soft soft soften softly", terms) == (3, 2, 4)
+    assert urls.count_terms(None, terms) == (0, 0, 0)
+    assert urls.count_terms("anything", urls.automaton({})) == (0, 0, 0)
+
+
+def test_weights(spark, tmp_path):
+    (tmp_path / "terms").write_text("heavy\nhalf,3\n\nlight,1\n")
+    own = urls.read_vocabulary(tmp_path / "terms", limit=6)
+    assert own == {"heavy": 6, "half": 3, "light": 1}
+    df = spark.createDataFrame([(1, "h://a/heavy"), (2, "h://a/half/half"), (3, "h://a/half-light"), (4, "h://half.b/light/heavy"), (5, "h://a/halfheavy")], "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["weight"]) for r in urls.judge(df, (), own, 6).collect()}
+    assert got == {1: ("block", 6), 2: ("allow", 3), 3: ("allow", 4), 4: ("block", 10), 5: ("allow", 0)}
+
+
+def test_hits_on_the_table(spark, sf):
+    """Hosts made of the vocabulary are rejected, and no other host of the table is."""
+    got = urls.op8_urls(spark, sf.replace("sf0.001", "sf0.1")).where("rule is null").toPandas()
+    assert (got.verdict == "block").any() and set(got.verdict[got.weight == 0]) == {"allow"}
+    for host in set(got.host[got.verdict == "block"]):
+        assert set(re.split("[^a-z0-9]", host)) & set(urls.VOCABULARY), host
 
 
 def test_longer_rule_of_the_same_host_wins(spark):
