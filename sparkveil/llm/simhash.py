@@ -41,10 +41,9 @@ from .components import components
 SHINGLE = 4
 DISTANCE = 4
 CROWD = 2048
-#: The pipeline's: 5-word shingles, four words, one of them within 8 bits and all within 48 of 256, for a similarity of 0.8.
-WIDE = {"shingle": 5, "distance": 8, "words": 4, "total": 48}
-#: From so many fingerprints a key takes in one more segment.
-DEEPER_FROM = 1 << 22
+#: Segments that a key takes parts of. With a distance of 4 three make 30 keys of 23 bits a fingerprint, so a key of unlike
+#: fingerprints stays below `CROWD` up to some 10 billion of them.
+DEPTH = 3
 
 
 def _further(hashes: np.ndarray) -> np.ndarray:
@@ -89,16 +88,15 @@ def _names(words: int) -> list[str]:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        *kept, texts = batch.columns
+        ids, texts = batch.columns
         marks = np.array([fingerprint(t.as_py(), shingle, words) for t in texts], np.uint64).reshape(-1, words)
-        yield pa.RecordBatch.from_arrays([*kept, *[pa.array(np.ascontiguousarray(m).view(np.int64)) for m in marks.T]], names=[*batch.schema.names[:-1], *_names(words)])
+        yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(m).view(np.int64)) for m in marks.T]], names=["doc_id", *_names(words)])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, kept: dict | None = None) -> DataFrame:
-    """doc_id, further long columns `kept`, and the fingerprint's words m0, m1, ... as signed longs, of every row."""
-    kept = kept or {}
-    fields = ", ".join(f"{m} long" for m in ["doc_id", *kept, *_names(words)])
-    shown = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in kept.items()], "text")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id and the fingerprint's words m0, m1, ... as signed longs, of every row."""
+    fields = ", ".join(f"{m} long" for m in ["doc_id", *_names(words)])
+    shown = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return shown.mapInArrow(partial(_fingerprint_batches, shingle=shingle, words=words), fields)
 
 
@@ -244,10 +242,8 @@ def _ball_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(points.view(np.int64)), pa.array(nodes)], names=["point", "node"])
 
 
-def link(nodes: DataFrame, distance: int = DISTANCE, words: int = 1, total: int | None = None, crowd: int = CROWD, depth: int | None = None) -> DataFrame:
+def link(nodes: DataFrame, distance: int = DISTANCE, words: int = 1, total: int | None = None, crowd: int = CROWD, depth: int = DEPTH) -> DataFrame:
     """u, v: edges that tie together all that links tie together, of different fingerprints (node, m0, m1, ...)."""
-    if depth is None:
-        depth = (2 if distance <= 4 else 3) + (nodes.count() >= DEEPER_FROM)
     layouts = [(w, start, ranges) for w in range(words) for start, ranges in key_layouts(distance, depth)]
     width = max(sum(n for _, n in ranges) for _, _, ranges in layouts)
     keys = []
@@ -290,10 +286,10 @@ def linked(nodes: DataFrame, keyed: DataFrame, plan: Plan) -> DataFrame:
     return edges.unionByName(again)
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, words: int = 1, total: int | None = None, crowd: int = CROWD, kept: dict | None = None) -> DataFrame:
-    """doc_id, kept columns, m0, m1, ..., component_id of every row."""
+def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, words: int = 1, total: int | None = None, crowd: int = CROWD) -> DataFrame:
+    """doc_id, m0, m1, ..., component_id of every row."""
     own = _names(words)
-    marked = cut(fingerprints(docs, shingle, words, kept))
+    marked = cut(fingerprints(docs, shingle, words))
     nodes = cut(marked.groupBy(*own).agg(F.min("doc_id").alias("least")).withColumn("node", F.col("m0") if words == 1 else F.monotonically_increasing_id()))
     roots = components(link(nodes.drop("least"), distance, words, total, crowd))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -301,33 +297,6 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, w
     return marked.join(rooted.select(*own, "root").join(named, "root").drop("root"), own)
 
 
-def keep_one(docs: DataFrame, words: int = 1, **options) -> DataFrame:
-    """The rows, with all their columns, whose id names their component; of rows that repeat such an id one."""
-    text = F.xxhash64("text")
-    found = classes(docs, words=words, kept={"_text": text}, **options)
-    named = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_id"), "_text")
-    # of a component without any id, the row with the least fingerprint and text
-    nameless = found.where("doc_id is null and component_id is null")
-    if not nameless.isEmpty():
-        named = named.unionByName(_least_of_components(docs, nameless, words, options))
-    named = cut(named)
-    rows, one = named.count(), named.groupBy("_id").agg(F.min("_text").alias("_text"))
-    one = cut(one.where("_id is not null").unionByName(named.where("_id is null").distinct()))
-    out = docs.join(one, docs["doc_id"].eqNullSafe(one["_id"]) & (text == one["_text"]), "left_semi")
-    if one.count() == rows:
-        return out
-    columns = out.columns  # an id or a text repeats: rows of one id and text are the same document
-    return out.withColumn("_text", text).dropDuplicates(["doc_id", "_text"]).select(*columns)
-
-
-def _least_of_components(docs: DataFrame, nameless: DataFrame, words: int, options: dict) -> DataFrame:
-    """_id (null) and _text of one row for each component of rows without an id."""
-    again = docs.where("doc_id is null").withColumn("doc_id", F.xxhash64("text"))
-    own = classes(again, words=words, **options).select("component_id").distinct()
-    alone = nameless.select("_text").distinct()
-    return own.join(alone, own["component_id"] == alone["_text"], "left_semi").select(F.lit(None).cast("long").alias("_id"), F.col("component_id").alias("_text"))
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, links of 4 differing bits or fewer."""
     found = classes(table(spark, sf_dir, "documents"))

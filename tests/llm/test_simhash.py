@@ -70,28 +70,6 @@ def test_long_chain_and_no_edges(spark):
     assert components(chain.limit(0)).count() == 0
 
 
-def test_keep_one(spark):
-    text = " ".join(f"a{k}" for k in range(400))
-    rows = [(3, text), (1, text), (1, text), (2, "another text of its own words"), (None, text), (None, "lonely words that have no id")]
-    kept = simhash.keep_one(frame(spark, rows))
-    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == sorted([(1, text), (2, rows[3][1]), (-1, rows[5][1])])
-    assert kept.columns == ["doc_id", "text", "m0", "key", "lang"]
-    assert simhash.keep_one(frame(spark, []), **simhash.WIDE).count() == 0
-
-
-def test_wide_catches_similar_texts(spark):
-    rng = random.Random(2)
-    rows, pairs = [], 60
-    for k in range(pairs):
-        text = [f"t{rng.randrange(5000)}" for _ in range(300)]
-        near = list(text)
-        for p in rng.sample(range(300), 3):  # 5-word similarity of about 0.9
-            near[p] = "changed"
-        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(near))]
-    kept = {r["doc_id"] for r in simhash.keep_one(frame(spark, rows), **simhash.WIDE).select("doc_id").collect()}
-    assert {2 * k for k in range(pairs)} <= kept and len(kept) <= pairs * 1.1
-
-
 def test_query_on_the_table(spark, sf):
     from sparkveil.llm.queries import queries
 
