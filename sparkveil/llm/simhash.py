@@ -13,8 +13,7 @@ rest of the chain is checked before the whole distance. A deeper key takes a thi
 Equal fingerprints are one node. Nodes of a key are compared in a stream of rows sorted by key, in which only what ties a
 key's nodes together leaves the task, never all pairs. The nodes of a key with more than `crowd` of them go another,
 exact way. For distances up to 4, each is noted under all points within half the distance of its word, and nodes that share a
-point are linked. For greater ones they are dealt into blocks of about `crowd`, and each pair of blocks is compared as
-if it were a key of its own.
+point are linked. For greater ones see `in_blocks`.
 
 Defined results: A-Z is lower-cased, words are runs of anything but the six ASCII blanks; fewer words than a shingle
 make one shingle; a null, empty or blank text has fingerprint zero and is linked like any other; rows with a null id are
@@ -24,7 +23,7 @@ table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import partial
 from itertools import combinations, product
@@ -41,6 +40,8 @@ from .components import components
 SHINGLE = 4
 DISTANCE = 4
 CROWD = 2048
+#: Members, about, that every block of a large group is compared with.
+HUBS = 32
 #: Segments that a key takes parts of. With a distance of 4 three make 30 keys of 23 bits a fingerprint, so a key of unlike
 #: fingerprints stays below `CROWD` up to some 10 billion of them.
 DEPTH = 3
@@ -278,12 +279,46 @@ def linked(nodes: DataFrame, keyed: DataFrame, plan: Plan) -> DataFrame:
         least = points.groupBy("point").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         shared = points.join(least, "point").where(F.col("u") != F.col("node")).select("u", F.col("node").alias("v"))
         return edges.unionByName(shared)
-    blocks = crowded.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / crowd).alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    pairs = crowded.join(blocks, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = pairs.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).join(nodes, "node")
-    again = compare(pairs, replace(plan, crowd=1 << 62, told=True)).select("u", "v")
-    return edges.unionByName(again)
+    kinds = crowded.groupBy("key").agg(F.min("kind").alias("kind"))  # a key is of one kind
+    told = replace(plan, crowd=1 << 62, told=True)
+
+    def among(rows: DataFrame) -> DataFrame:
+        return compare(rows.join(kinds, rows["group"] == kinds["key"]).select(rows["key"], "node", "kind").join(nodes, "node"), told).select("u", "v")
+
+    members = crowded.select(F.col("key").alias("group"), "node", F.lit(1).alias("size"))
+    return edges.unionByName(in_blocks(members, among, crowd, edges))
+
+
+def in_blocks(members: DataFrame, among: Callable[[DataFrame], DataFrame], block: int, edges: DataFrame | None = None) -> DataFrame:
+    """u, v: what ties together the members (group, node, size) of groups that are too large for a task, beyond `edges`.
+
+    among(rows group, node, key): the edges between nodes of a key, all of which one task compares. A group is dealt into
+    blocks of a size of about `block`. First each block is compared with itself and with HUBS members or so of the whole group. In a
+    group of near copies this ties all but a few together, and what is tied is not compared again: only the
+    rest, those outside the group's largest component, are compared with every block. So the work grows with the
+    group, and not with its square, as long as the rest is small; no pair of different components goes without comparison.
+    """
+    sizes = members.groupBy("group").agg(F.ceil(F.sum("size") / block).cast("long").alias("blocks"), F.count(F.lit(1)).alias("_n"))
+    dealt = members.join(sizes, "group")
+    dealt = cut(dealt.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks")).withColumn("hub", F.pmod(F.xxhash64("node", F.lit(1)), "_n") < HUBS))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    first = dealt.withColumn("at", F.explode(F.when(F.col("hub"), upto("blocks")).otherwise(F.array("mine"))))
+    found = cut(among(first.select("group", "node", F.xxhash64("group", "at").alias("key"))))
+    if sizes.where("blocks > 1").isEmpty():
+        return found
+    roots = components(found if edges is None else found.unionByName(edges))
+    placed = cut(dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    most = placed.groupBy("group", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("group").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    placed = placed.join(most, "group").withColumn("rest", F.col("root") != F.col("main"))
+    left = cut(placed.where("rest and blocks > 1").groupBy("group").agg(F.ceil(F.sum("size") / block).cast("long").alias("parts")))
+    if left.isEmpty():
+        return found
+    again = placed.join(left, "group").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), "parts"))
+    pair = lambda part, at: F.struct(part.alias("part"), at.alias("at"))
+    own = F.transform(upto("parts"), lambda k: pair(k, F.col("mine")))
+    rest = F.when(F.col("rest"), F.transform(upto("blocks"), lambda k: pair(F.col("part"), k)))
+    again = again.withColumn("to", F.explode(F.array_distinct(F.concat(own, F.coalesce(rest, F.array().cast("array<struct<part:bigint,at:bigint>>"))))))
+    return found.unionByName(among(again.select("group", "node", F.xxhash64("group", "to.part", "to.at", F.lit(3)).alias("key"))))
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, words: int = 1, total: int | None = None, crowd: int = CROWD) -> DataFrame:

@@ -3,7 +3,8 @@ from fractions import Fraction
 
 import corpus_pipeline
 import pytest
-from sparkveil.llm import similar
+from pyspark.sql import functions as F
+from sparkveil.llm import simhash, similar
 
 from . import brute
 from .test_simhash import frame
@@ -29,8 +30,9 @@ def test_stage_decides_by_similarity(spark, sf):
     assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame(spark, rows), sf).select("doc_id").collect()} == want
 
 
-@pytest.mark.parametrize("crowd,block", [(2048, 1 << 21), (3, 400)])
-def test_components_against_brute_force(spark, crowd, block):
+@pytest.mark.parametrize("crowd,block,hubs", [(2048, 1 << 21, 32), (3, 400, 32), (3, 400, 1)])
+def test_components_against_brute_force(spark, monkeypatch, crowd, block, hubs):
+    monkeypatch.setattr(simhash, "HUBS", hubs)
     rng = random.Random(4)
     words, rows = [f"w{k}" for k in range(400)], []
     for _ in range(8):
@@ -57,3 +59,20 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == sorted([(1, text), (2, rows[3][1]), (-1, rows[5][1])])
     assert kept.columns == ["doc_id", "text", "m0", "key", "lang"]
     assert similar.keep_one(frame(spark, [])).count() == 0
+
+
+def test_a_large_group_is_compared_in_linear_work(spark):
+    """Near copies that are all alike: rows compared grow with the group. With strangers among them: each stranger meets all."""
+    n, strangers, block = 3000, 5, 50
+    told = []
+
+    def among(rows):
+        rows = rows.withColumn("kin", F.col("node") >= strangers).cache()
+        told.append(rows.count())
+        least = rows.where("kin").groupBy("key").agg(F.min("node").alias("u"))
+        return rows.where("kin").join(least, "key").select("u", F.col("node").alias("v")).where("u <> v")
+
+    members = spark.range(n).select(F.lit(7).cast("long").alias("group"), F.col("id").alias("node"), F.lit(1).alias("size"))
+    edges = simhash.in_blocks(members, among, block)
+    assert edges.where(f"u < {strangers} or v < {strangers}").count() == 0
+    assert told[0] <= n + 2 * simhash.HUBS * n / block and told[1] <= n + strangers * n / block
