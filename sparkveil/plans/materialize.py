@@ -17,7 +17,9 @@ def materialized(frame: DataFrame) -> DataFrame:
     sc = frame.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:  # no cluster: a folder of this process
+        if folder is None:  # a folder of this process
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="sparkveil-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
             folder = f"file://{folder}"
