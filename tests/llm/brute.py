@@ -63,13 +63,15 @@ def nearest(ids, x, query, k):
     return [i for _, i in sorted(score)[:k]]
 
 
+def shingles(text, shingle=5):
+    """A text's set of word shingles."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
 def jaccard(a, b, shingle=5):
     """The similarity of two texts' sets of word shingles, as a fraction."""
     from fractions import Fraction
 
-    def own(text):
-        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-
-    a, b = own(a), own(b)
+    a, b = shingles(a, shingle), shingles(b, shingle)
     return Fraction(len(a & b), len(a | b)) if a | b else Fraction(1)

@@ -23,6 +23,9 @@ def test_stages_against_brute_force(spark, sf):
     left = [r["doc_id"] for r in good.collect()]
     assert one.columns == columns and kept <= set(left) and {rows[i] for i in kept} <= {rows[i] for i in left}
     assert len({rows[i] for i in kept}) == len(kept), "no exact copies"
+    sets = [brute.shingles(rows[i]) for i in left]
+    groups = brute.components(left, lambda i, j: bool(sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])))
+    assert kept == set(groups), "the least id of each group"
     clean = stage["decontamination"](spark, one, sf)
     items = [brute.tokens(r["text"]) for r in table(spark, sf, "benchmark").collect()]
     want = {i for i in kept if not any(set(brute.tokens(rows[i])) >= set(b[:1]) and brute.leak(brute.tokens(rows[i]), b) for b in items)}
