@@ -30,6 +30,8 @@ SLACK = 2
 LEAST = 5
 TOLERANT = 7
 BLOCK_WINDOWS = 20_000
+#: 16 bytes each.
+BROADCAST_ROWS = 500_000
 BREAK = r"[^\p{L}\p{M}\p{Nd}]+"
 
 
@@ -103,11 +105,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, names: list[str], span: int = S
     return best.where("overlap is not null")
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows, with all their columns, in which no benchmark passage is found."""
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+    """The rows, with all their columns, in which no benchmark passage is found.
+
+    Up to `broadcast_rows` leaks are sent to all tasks, so that no text moves; more of them are joined by a shuffle.
+    """
     mark = F.xxhash64("text")
     marked = docs.select("doc_id", "text", mark.alias("_mark"))
     leaked = cut(leaks(marked, benchmark, ["doc_id", "_mark"], **options).select(F.col("doc_id").alias("_id"), "_mark").distinct())
+    if leaked.count() <= broadcast_rows:
+        leaked = F.broadcast(leaked)
     return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["_id"]) & (mark == leaked["_mark"]), "left_anti")
 
 

@@ -58,9 +58,10 @@ def test_remove_leaks(spark):
     passage = " ".join(f"p{k}" for k in range(20))
     docs = [(1, f"before {passage} after"), (2, "clean text"), (2, f"{passage}"), (None, passage), (None, "clean too"), (3, None)]
     df, bench = frames(spark, docs, [(1, passage)])
-    left = d.remove_leaks(df, bench)
-    assert left.columns == df.columns
-    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(2, "clean text"), (None, "clean too"), (3, None)], key=str)
+    for rows in (d.BROADCAST_ROWS, 0):
+        left = d.remove_leaks(df, bench, broadcast_rows=rows)
+        assert left.columns == df.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(2, "clean text"), (None, "clean too"), (3, None)], key=str)
     assert d.remove_leaks(df, bench.limit(0)).count() == len(docs) and d.remove_leaks(df.limit(0), bench).count() == 0
 
 
