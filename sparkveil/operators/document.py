@@ -12,7 +12,7 @@ from .detect import FINDINGS, SEED_SOURCE, finding, gate, none
 
 SEED_SCORE = 0.85
 COLUMN_SCORE, TOPICAL_SCORE = 0.8, 0.9
-INFER_ROWS, INFER_LEAST, INFER_DISTINCT, INFER_NAMES, INFER_HITS, INFER_SHARE = 500, 4, 0.5, 0.8, 2, 0.2
+INFER_LEAST, INFER_DISTINCT, INFER_NAMES, INFER_HITS, INFER_SHARE = 4, 0.5, 0.8, 2, 0.2
 
 # Headers of topical columns, in this order.
 TOPICAL = {
@@ -70,8 +70,8 @@ def topical_seeds(cells: DataFrame, categories: dict[str, str] | None = None, te
 
 
 def _words(units: DataFrame) -> DataFrame:
-    """Every run of letters and digits of a unit with its place."""
-    return units.select("doc_id", "unit_id", "text", F.explode_outer(text.spans(F.col("text"), r"[\p{L}\p{N}]+")).alias("w")).where("w is not null")
+    """Every run of letters and digits of a unit with its place, and without the unit's text."""
+    return units.select("doc_id", "unit_id", F.explode_outer(text.spans(F.col("text"), r"[\p{L}\p{N}]+")).alias("w")).where("w is not null")
 
 
 def propagated(units: DataFrame, known: DataFrame) -> DataFrame:
@@ -85,7 +85,11 @@ def propagated(units: DataFrame, known: DataFrame) -> DataFrame:
     joined = here.join(led, (here["doc_id"] == led["doc_id"]) & (here["w"]["value"] == led["first"])).drop(led["doc_id"])
     start = F.col("w.start") - F.col("lead")
     end = start + F.length("seed")
-    placed = joined.withColumns({"start": start, "end": end}).where("start >= 0").where(F.expr("substring(text, start + 1, length(seed))") == F.col("seed"))
+    # the text comes back once for each unit that has a word of a seed, and not with every word
+    hits = joined.select("doc_id", "unit_id", F.struct("entity_type", "seed", start.alias("start"), end.alias("end")).alias("h")).where("h.start >= 0")
+    hits = hits.groupBy("doc_id", "unit_id").agg(F.collect_set("h").alias("h"))
+    told = units.select("doc_id", "unit_id", "text").join(hits, ["doc_id", "unit_id"])
+    placed = told.select("doc_id", "unit_id", "text", F.explode("h").alias("h")).select("doc_id", "unit_id", "text", "h.*").where(F.expr("substring(text, start + 1, length(seed))") == F.col("seed"))
     before = F.expr("if(start > 0, substring(text, start, 1), '')")
     after = F.expr("substring(text, `end` + 1, 1)")
     bounded = placed.where(~before.rlike(r"[\p{L}\p{N}]") & ~after.rlike(r"[\p{L}\p{N}]"))
@@ -144,15 +148,17 @@ def proprietary(words: DataFrame, vocabulary: Iterable[str], depth: int = 3, lea
     return shaped.mapInPandas(unknown, "word string") if known else shaped.limit(0)
 
 
-def people_columns(cells: DataFrame, given_names: Iterable[str], categories: dict[str, str] | None = None) -> DataFrame:
+def people_columns(cells: DataFrame, given_names: Iterable[str], categories: dict[str, str] | None = None, rows: int | None = None) -> DataFrame:
     """doc_id, sheet, col of columns whose content is people, though the header does not say so.
 
-    cells: doc_id, sheet, col, row, header, text. The first 500 rows of a column count.
+    cells: doc_id, sheet, col, row, header, text. rows: how many of a column count, where a quick look is enough; None: all.
     """
     given = sorted({g.lower() for g in given_names})
     value = text.clean(F.col("text"))
     own = cells.where(~is_name_header(F.col("header")) & topical_category(F.col("header"), categories).isNull())
-    own = own.select("doc_id", "sheet", "col", "row", value.alias("v")).where("v <> '' and row <= " + str(INFER_ROWS + 1))
+    own = own.select("doc_id", "sheet", "col", "row", value.alias("v")).where("v <> ''")
+    if rows is not None:
+        own = own.where(F.col("row") <= rows + 1)
     shape, hit = text.looks_like_name(F.col("v")), text.first_token(F.col("v")).isin(*given) if given else F.lit(False)
     facts = own.groupBy("doc_id", "sheet", "col").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("d"), F.sum(shape.cast("int")).alias("names"), F.sum((shape & hit).cast("int")).alias("hits")

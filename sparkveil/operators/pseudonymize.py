@@ -6,13 +6,16 @@ given out in one pass in document order and never again. Write a mapping to a ne
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import time
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy, text
+from ..plans.materialize import materialized
 
 MAPPING = "label string, value_key string, original_value string, placeholder string"
 COUNTERS = "label string, next_n long"
@@ -99,27 +102,91 @@ class Mapping:
 
     def save(self, folder: str, key: str | None = None) -> None:
         """Write to a new folder; with a key (16, 24 or 32 characters), values are encrypted."""
-        entries = self.entries
+        spark, entries = self.entries.sparkSession, self.entries
         if key is not None:
+            entries = _with_key(entries, key)
             for c in ("value_key", "original_value"):
-                entries = entries.withColumn(c, F.base64(F.aes_encrypt(c, F.lit(key))))
-        entries.write.parquet(f"{folder}/entries")
+                entries = entries.withColumn(c, F.base64(F.aes_encrypt(c, "_key")))
+            proof = _with_key(spark.createDataFrame([(PROOF,)], "proof string"), key)
+            proof.select(F.base64(F.aes_encrypt("proof", "_key")).alias("proof")).write.parquet(f"{folder}/proof")
+        entries.drop("_key").write.parquet(f"{folder}/entries")
         self.counters.write.parquet(f"{folder}/counters")
 
     @staticmethod
     def load(spark: SparkSession, folder: str, key: str | None = None) -> Mapping:
-        """Read a folder. A wrong key is an error, not an empty mapping."""
-        entries = spark.read.parquet(f"{folder}/entries")
-        if key is not None:
-            for c in ("value_key", "original_value"):
-                entries = entries.withColumn(c, F.aes_decrypt(F.unbase64(c), F.lit(key)).cast("string"))
-        return Mapping(entries, spark.read.parquet(f"{folder}/counters"))
+        """Read a folder. A missing or wrong key and a damaged mapping are different errors, and never an empty mapping."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/proof")
+        locked = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        if locked and key is None:
+            raise KeyLost(f"{folder} is encrypted and no key was given")
+        if locked:
+            proof = _with_key(spark.read.parquet(f"{folder}/proof"), key)
+            told = proof.select(F.expr("cast(try_aes_decrypt(unbase64(proof), _key) as string)").alias("proof")).collect()
+            if [r["proof"] for r in told] != [PROOF]:
+                raise KeyLost(f"the key does not fit {folder}")
+        try:
+            entries, counters = spark.read.parquet(f"{folder}/entries"), spark.read.parquet(f"{folder}/counters")
+            if {f.split()[0] for f in MAPPING.split(", ")} != set(entries.columns):
+                raise ValueError("columns are missing")
+            if locked:
+                entries = _with_key(entries, key)
+                for c in ("value_key", "original_value"):
+                    entries = entries.withColumn(c, F.expr(f"cast(aes_decrypt(unbase64({c}), _key) as string)"))
+                entries = entries.drop("_key")
+        except Exception as e:
+            raise MappingDamaged(f"{folder} cannot be read: {e}") from e
+        return Mapping(entries, counters)
+
+    @staticmethod
+    def rotate(spark: SparkSession, folder: str, old: str | None, new: str, target: str) -> Mapping:
+        """The mapping of a folder under a new key in a new one, which is read again before the old one may go."""
+        before = Mapping.load(spark, folder, old)
+        before.save(target, new)
+        after = Mapping.load(spark, target, new)
+        if not before.entries.exceptAll(after.entries).isEmpty() or before.entries.count() != after.entries.count():
+            raise MappingDamaged(f"{target} does not hold what {folder} does")
+        return after
+
+
+#: What an encrypted mapping proves its key with.
+PROOF = "mapping"
+
+
+class KeyLost(ValueError):
+    """An encrypted mapping without its key."""
+
+
+class MappingDamaged(ValueError):
+    """A mapping that cannot be read although its key fits."""
+
+
+def _with_key(frame: DataFrame, key: str) -> DataFrame:
+    """frame with the key as a column: as data of a local row, so that no plan, log or page of the interface shows it."""
+    return frame.join(F.broadcast(frame.sparkSession.createDataFrame([(key,)], "_key string")))
+
+
+@contextmanager
+def lock(spark: SparkSession, folder: str, timeout: float = 10.0) -> Iterator[None]:
+    """Hold a mapping's folder against other writers: a file beside it that only one of them can create."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}._lock")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path.getParent())
+    until = time.monotonic() + timeout
+    while not store.createNewFile(path):
+        if time.monotonic() > until:
+            raise TimeoutError(f"{folder} is held by another writer (if that one is gone, delete {folder}._lock)")
+        time.sleep(0.1)
+    try:
+        yield
+    finally:
+        store.delete(path, False)
 
 
 def _ranked(fresh: DataFrame) -> DataFrame:
     """fresh with `rank`, from 0 within each label by `at`: ranks within ranges of rows, plus how many of the label come before."""
     order = [F.col("label"), F.col("at"), F.col("value_key")]
-    dealt = fresh.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # written, so that both branches below see the same ranges whatever is computed again
+    dealt = materialized(fresh.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     dealt = dealt.withColumn("_part", part)
     within = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("label", "_part").orderBy("_at")) - 1)
@@ -157,15 +224,20 @@ def spliced(source: Column, changes: Column) -> Column:
     return F.aggregate(changes, nothing, step, lambda a: F.concat(a["out"], F.substring(source, a["at"] + 1, F.length(source))))
 
 
-def apply(units: DataFrame, findings: DataFrame, decisions: DataFrame, mapping: Mapping) -> tuple[DataFrame, Mapping]:
-    """units with `output`, and the mapping that its tokens are in. findings: of resolved units, so without overlaps."""
+def changes(findings: DataFrame, decisions: DataFrame, mapping: Mapping) -> tuple[DataFrame, Mapping]:
+    """doc_id, unit_id, start, end, token of what is replaced, and the mapping that the tokens are in."""
     chosen = decided(findings, decisions).where("action <> 'skip'")
     minted = mapping.mint(wanted(chosen))
     keyed = chosen.withColumn("label", taxonomy.token_label(F.col("entity_type")))
     held = keyed.join(minted.entries.select("label", "value_key", "placeholder"), ["label", "value_key"], "left")
-    told = held.select("doc_id", "unit_id", F.struct("start", "end", replacement(F.col("entity_type"), F.col("value"), F.col("action"), F.col("placeholder")).alias("token")).alias("c"))
-    changes = told.groupBy("doc_id", "unit_id").agg(F.array_sort(F.collect_list("c")).alias("_changes"))
-    out = units.join(changes, ["doc_id", "unit_id"], "left")
+    return held.select("doc_id", "unit_id", "start", "end", replacement(F.col("entity_type"), F.col("value"), F.col("action"), F.col("placeholder")).alias("token")), minted
+
+
+def apply(units: DataFrame, findings: DataFrame, decisions: DataFrame, mapping: Mapping) -> tuple[DataFrame, Mapping]:
+    """units with `output`, and the mapping that its tokens are in. findings: of resolved units, so without overlaps."""
+    told, minted = changes(findings, decisions, mapping)
+    gathered = told.groupBy("doc_id", "unit_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("_changes"))
+    out = units.join(gathered, ["doc_id", "unit_id"], "left")
     return out.withColumn("output", F.when(F.col("_changes").isNull(), F.col("text")).otherwise(spliced(F.col("text"), F.col("_changes")))).drop("_changes"), minted
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checksums, taxonomy, text
@@ -76,28 +76,30 @@ def corroborated(groups: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Data
     return out.withColumn("tier", F.when(F.col("demoted"), "low").otherwise(F.col("tier"))).drop("_weak", "_heir")
 
 
-def possible_misses(units: DataFrame, findings: DataFrame, codes: list[str], limit: int | None = MISS_LIMIT) -> DataFrame:
-    """value_key, value, count, context of risky shapes that no finding touches; the most frequent ones, first seen first.
+def possible_misses(units: DataFrame, findings: DataFrame, codes: list[str]) -> DataFrame:
+    """doc_id, value_key, value, count, context, first_at of risky shapes that no finding touches, by document.
 
-    limit: a report's length. None returns all.
+    All patterns run in one pass; what they find is judged in its row, and only risky shapes leave it, without their text.
     """
-    matches = None
-    for k, pattern in enumerate(MISS_PATTERNS):
-        own = units.select("doc_id", "unit_id", "unit_ord", "text", F.lit(k).alias("pattern"), F.explode_outer(text.spans(F.col("text"), pattern)).alias("m")).where("m is not null")
-        matches = own if matches is None else matches.unionByName(own)
-    value = text.clean(F.col("m.value"))
-    found = matches.select("doc_id", "unit_id", "unit_ord", "pattern", "text", F.col("m.start").alias("start"), F.col("m.end").alias("end"), value.alias("value"))
-    risky = (F.length(F.regexp_replace("value", r"\P{Nd}", "")) >= 4) | F.col("value").contains("@") | F.col("value").contains("//") | F.lower("value").startswith("www.") | checksums.bic_valid(F.col("value"), codes)
-    found = found.where(risky & ~text.is_number(F.col("value"), F.col("value") == text.clean(F.col("text"))))
+    kinds = F.array(*[F.transform(text.spans(F.col("text"), p), lambda m, k=k: F.struct(F.lit(k).alias("pattern"), m["start"].alias("start"), m["end"].alias("end"), text.clean(m["value"]).alias("value"))) for k, p in enumerate(MISS_PATTERNS)])
+    low = lambda m: F.lower(m["value"])
+    risky = lambda m: (F.length(F.regexp_replace(m["value"], r"\P{Nd}", "")) >= 4) | m["value"].contains("@") | m["value"].contains("//") | low(m).startswith("www.") | checksums.bic_valid(m["value"], codes)
+    shown = lambda m: F.struct(m["pattern"].alias("pattern"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), text.snippet(F.col("text"), m["start"], m["end"]).alias("context"))
+    whole = units.withColumn("_m", F.flatten(kinds))
+    # a step each, so that an expression is not written out again by the next
+    whole = whole.withColumn("_m", F.filter("_m", lambda m: risky(m) & ~text.is_number(m["value"], m["value"] == text.clean(F.col("text")))))
+    made = whole.select("doc_id", "unit_id", "unit_ord", F.explode_outer(F.transform("_m", shown)).alias("_m")).where("_m is not null").select("doc_id", "unit_id", "unit_ord", "_m.*")
     covered = findings.select(F.col("doc_id").alias("d"), F.col("unit_id").alias("u"), F.col("start").alias("s"), F.col("end").alias("e"))
-    free = found.join(covered, (found["doc_id"] == covered["d"]) & (found["unit_id"] == covered["u"]) & (covered["s"] < found["end"]) & (covered["e"] > found["start"]), "left_anti")
+    free = made.join(covered, (made["doc_id"] == covered["d"]) & (made["unit_id"] == covered["u"]) & (covered["s"] < made["end"]) & (covered["e"] > made["start"]), "left_anti")
     at = F.struct("unit_ord", "pattern", "start")
-    out = free.groupBy(F.lower("value").alias("value_key")).agg(
-        F.count(F.lit(1)).alias("count"), F.min_by("value", at).alias("value"), F.min_by(text.snippet(F.col("text"), F.col("start"), F.col("end")), at).alias("context"), F.min(at).alias("_first")
-    )
-    if limit is not None:
-        out = out.orderBy(F.desc("count"), "_first", "value_key").limit(limit)
-    return out.drop("_first").withColumns({"entity_type": F.lit("POSSIBLE_MISS"), "action": F.lit("skip"), "tier": F.lit("low")})
+    out = free.groupBy("doc_id", F.lower("value").alias("value_key")).agg(F.count(F.lit(1)).alias("count"), F.min_by("value", at).alias("value"), F.min_by("context", at).alias("context"), F.min(at).alias("first_at"))
+    return out.withColumns({"entity_type": F.lit("POSSIBLE_MISS"), "action": F.lit("skip"), "tier": F.lit("low")})
+
+
+def top_misses(misses: DataFrame, limit: int = MISS_LIMIT) -> DataFrame:
+    """A report: of each document the `limit` most frequent misses, those first seen first."""
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("count"), "first_at", "value_key"))
+    return misses.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 
 
 def stats(units: DataFrame, groups: DataFrame, misses: DataFrame) -> DataFrame:
@@ -145,8 +147,8 @@ def export_rows(groups: DataFrame, misses: DataFrame) -> DataFrame:
 
 
 def column_summary(cells: DataFrame, findings: DataFrame, overrides: Column | None = None) -> DataFrame:
-    """sheet, col, header, sample, pii_count, name_override: columns with a header or findings; samples of their first 200 rows."""
-    value = F.when((F.col("row").between(2, 201)) & (text.clean(F.col("text")) != ""), text.clean(F.col("text")))
+    """sheet, col, header, sample, pii_count, name_override: columns with a header or findings; the sample is their first value."""
+    value = F.when((F.col("row") >= 2) & (text.clean(F.col("text")) != ""), text.clean(F.col("text")))
     seen = cells.groupBy("sheet", "col").agg(F.max("header").alias("header"), F.min_by(value, F.when(value.isNotNull(), F.col("row"))).alias("sample"))
     found = findings.groupBy("sheet", "col").agg(F.count(F.lit(1)).alias("pii_count"))
     out = seen.where("header is not null").join(found, ["sheet", "col"], "full").withColumn("pii_count", F.coalesce("pii_count", F.lit(0)))

@@ -46,10 +46,11 @@ def literal_residual(outputs: DataFrame, removed: DataFrame, column: str = "outp
     values = values.withColumn("_bare", bare("value_key")).where("_bare <> ''").withColumn("_k", F.substring("_bare", 1, 3)).withColumn("_n", F.length("_k"))
     units = outputs.join(values.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "unit_id", F.col(column).alias("_text"))
     units = units.withColumn("_flat", bare("_text"))
-    # all the pieces of one, two and three characters that a text has
+    # all the pieces of one, two and three characters that a text has; the text itself stays behind
     grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.when(F.length("_flat") >= n, F.transform(F.sequence(F.lit(1), F.length("_flat") - n + 1), lambda k: F.substring(F.col("_flat"), k, n))).otherwise(F.array().cast("array<string>")))))
-    keyed = units.withColumn("_k", F.explode(grams))
-    pairs = keyed.join(values, ["doc_id", "_k"])
+    keyed = units.select("doc_id", "unit_id", F.explode(grams).alias("_k"))
+    asked = keyed.join(values, ["doc_id", "_k"]).groupBy("doc_id", "unit_id").agg(F.collect_set(F.struct("value_key", "_bare")).alias("_v"))
+    pairs = units.join(asked, ["doc_id", "unit_id"]).withColumn("_v", F.explode("_v")).select("doc_id", "unit_id", "_text", "_flat", "_v.*")
     plain = pairs.withColumn("_at", F.expr("instr(lower(_text), value_key)")).withColumn("_flat_at", F.expr("instr(_flat, _bare)"))
     real = F.col("_at") > 0
     outside = _survives(F.col("_text"), F.col("value_key"))

@@ -472,9 +472,7 @@ G_CELLS = "select 's' as sheet, ['A', 'B', 'AA'][l_linenumber % 3 + 1] as col, l
 def h_possible_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = tables.texts(_read(spark, sf_dir, "documents"))
     cards = units.select("doc_id", "unit_id", F.explode(text.spans(F.col("text"), CARD)).alias("m")).select("doc_id", "unit_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"))
-    return review.possible_misses(units, cards, BIC_CODES, limit=None).select("value_key", "count")
-
-
+    return review.possible_misses(units, cards, BIC_CODES).select("doc_id", "value_key", "count")
 
 # --- I: sets ------------------------------------------------------------------------------------------------------------
 
@@ -729,8 +727,8 @@ select 'table' as sheet, col, header, sample, pii_count, name_override from (
 def g_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the export by bucket."""
     groups = _plain_groups(spark, sf_dir)
-    none_missed = review.possible_misses(tables.texts(_read(spark, sf_dir, "documents").limit(0)), _findings(spark, sf_dir).withColumn("unit_id", F.lit("u")).limit(0), BIC_CODES)
-    return review.export_rows(groups, none_missed).groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("count").alias("occurrences"))
+    missed = review.possible_misses(*_planted_misses(spark, sf_dir), BIC_CODES)
+    return review.export_rows(groups, missed).groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("count").alias("occurrences"))
 
 
 G_EXPORT = _G_CORROBORATED + " select case when demoted then 'demoted' else 'flagged' end as bucket, count(*) as rows, sum(count)::bigint as occurrences from h group by 1"
@@ -845,9 +843,15 @@ _ALL: dict[str, tuple[Query, str | None]] = {
 }
 
 
+def _every() -> dict[str, tuple[Query, str | None]]:
+    from . import rule_queries
+
+    return _ALL | rule_queries.QUERIES
+
+
 def queries() -> dict[str, Query]:
-    return {name: run for name, (run, _) in _ALL.items()}
+    return {name: run for name, (run, _) in _every().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql is not None}
+    return {name: sql for name, (_, sql) in _every().items() if sql is not None}

@@ -26,25 +26,52 @@ class ScanFrames:
 
 def with_language(units: DataFrame, languages: tuple[str, ...] = ("de", "en")) -> DataFrame:
     """units with `lang`, one for each document: that of all its units, the first configured one if unsure."""
-    # marker words are counted in each unit and added up: no document is put together in one task
-    words = lambda listed: F.size(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-zäöüß]+)"), F.lit(1)), listed))
-    counted = units.groupBy("doc_id").agg(
-        F.sum(words(lambda w: F.lit(True))).alias("n"), F.sum(words(lambda w: w.isin(*text.GERMAN))).alias("de"), F.sum(words(lambda w: w.isin(*text.ENGLISH))).alias("en"), F.sum(words(lambda w: w.rlike("[äöüß]"))).alias("um")
-    )
+    counted = units.groupBy("doc_id").agg(*_markers())  # no document is put together in one task
+    found = counted.select("doc_id", _verdict().alias("_l")).select("doc_id", F.when(F.col("_l.confident"), F.col("_l.lang")).otherwise(languages[0]).alias("lang"), F.col("_l.confident").alias("lang_confident"))
+    return units.join(found, "doc_id", "left").withColumn("lang", F.coalesce("lang", F.lit(languages[0])))
+
+
+def _markers() -> list[Column]:
+    """Sums over texts: words, German and English marker words, words with umlauts."""
+    words = lambda listed: F.sum(F.size(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-zäöüß]+)"), F.lit(1)), listed)))
+    return [words(lambda w: F.lit(True)).alias("n"), words(lambda w: w.isin(*text.GERMAN)).alias("de"), words(lambda w: w.isin(*text.ENGLISH)).alias("en"), words(lambda w: w.rlike("[äöüß]")).alias("um")]
+
+
+def _verdict() -> Column:
+    """struct<lang, confident> of such sums."""
     floor = F.when(F.col("n") <= text.SHORT_WORDS, text.FLOOR_SHORT).otherwise(text.FLOOR)
     de = F.col("de") + F.least(F.col("um"), floor - 1)
     lead, other = F.greatest(de, F.col("en")), F.least(de, F.col("en"))
     sure = (lead >= floor) & (lead >= F.greatest(F.lit(1), other) * text.MARGIN)
-    lang = F.when(sure, F.when(de >= F.col("en"), "de").otherwise("en")).otherwise(languages[0])
-    return units.join(counted.select("doc_id", lang.alias("lang"), sure.alias("lang_confident")), "doc_id", "left").withColumn("lang", F.coalesce("lang", F.lit(languages[0])))
+    return F.struct(F.when(de >= F.col("en"), "de").otherwise("en").alias("lang"), sure.alias("confident"))
+
 
+def with_cell_language(units: DataFrame, languages: tuple[str, ...] = ("de", "en")) -> DataFrame:
+    """units of workbooks with `lang`: a long cell's own if it is plain, else its sheet's; units of no sheet have their document's."""
+    sheets = sheet_languages(units.where("sheet is not null")).withColumnRenamed("lang", "_sheet")
+    known = lambda lang: F.when(lang.isin(*languages), lang)
+    joined = with_language(units, languages).join(sheets, ["doc_id", "sheet"], "left")
+    own = cell_language(F.col("text"), F.coalesce(F.col("_sheet"), F.col("lang")))
+    return joined.withColumn("lang", F.when(F.col("sheet").isNull(), F.col("lang")).otherwise(F.coalesce(known(own), known(F.col("_sheet")), F.col("lang")))).drop("_sheet")
 
-def sheet_languages(cells: DataFrame, limit: int = 400) -> DataFrame:
-    """doc_id, sheet, lang: by a sheet's headers and up to 400 of its cells; doubt is no bar."""
+
+def sniff_language(units: DataFrame) -> tuple[str, bool]:
+    """Language and certainty of units before a scan; never an error: ("de", False) where it cannot be told."""
+    try:
+        found = units.agg(*_markers()).select(_verdict().alias("l")).first()["l"]
+    except Exception:  # a first guess for a dialogue; the scan itself reports what is wrong
+        return "de", False
+    return (found["lang"], True) if found["confident"] else ("de", False)
+
+
+def sheet_languages(cells: DataFrame) -> DataFrame:
+    """doc_id, sheet, lang: by a sheet's headers and all of its cells; doubt is no bar, a sheet without marker words is German.
+
+    Marker words are counted cell by cell and added up, so neither is a sheet put together nor are some of its rows taken for it.
+    """
     heads = cells.select("doc_id", "sheet", F.col("header").alias("text")).distinct()
-    some = cells.where(F.col("row") <= limit + 1).select("doc_id", "sheet", "text")
-    joined = heads.unionByName(some).where("text is not null").groupBy("doc_id", "sheet").agg(F.array_join(F.slice(F.array_sort(F.collect_list(F.struct(F.length("text").alias("n"), "text")))["text"], 1, limit), " ").alias("text"))
-    return joined.select("doc_id", "sheet", text.language(F.col("text"))["lang"].alias("lang"))
+    both = heads.unionByName(cells.select("doc_id", "sheet", "text")).where("text is not null")
+    return both.groupBy("doc_id", "sheet").agg(*_markers()).select("doc_id", "sheet", _verdict()["lang"].alias("lang"))
 
 
 def cell_language(value: Column, sheet: Column) -> Column:
@@ -62,8 +89,9 @@ def scan(units: DataFrame, config: Config | None = None, codes: list[str] | None
     config = config or Config()
     spark = units.sparkSession
     codes = codes or checksums.countries(spark)
-    lang = units if "lang" in units.columns else with_language(units, config.languages)
     has_cells = "header" in units.columns
+    routed = with_cell_language if "sheet" in units.columns else with_language
+    lang = units if "lang" in units.columns else routed(units, config.languages)
     lang = lang if has_cells else lang.withColumn("header", F.lit(None).cast("string"))
     seen = document.header_context(F.col("header"), F.col("text"))
     # dealt by a stated number: adaptive planning goes by bytes, and rules cost seconds for a megabyte

@@ -185,17 +185,27 @@ def units_of(data: bytes, path: str, depth: int = 2) -> Iterator[tuple]:
         raise SourceError(f"{path} is damaged: {e}") from e
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Units of all documents that a path (with wildcards) names. A file of another kind, or a damaged one, fails the job."""
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of all files that a path (with wildcards) names."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def unpack(documents: DataFrame) -> DataFrame:
+    """Units of documents (path, content). One of another kind, or a damaged one, fails the job."""
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [f.split()[0] for f in UNIT.split(", ")]
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
                 rows = [(name, u[0], k, *u[1:]) for k, u in enumerate(units_of(data, name))]
                 yield pd.DataFrame(rows, columns=columns).astype({"row": "Int64"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, UNIT)
+    return documents.select("path", "content").mapInPandas(run, UNIT)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Units of all documents that a path (with wildcards) names."""
+    return unpack(files(spark, path))
 
 
 def metadata_free(data: bytes) -> bytes:

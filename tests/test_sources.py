@@ -4,7 +4,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from sparkveil.sources import ooxml, pages, tables
+from sparkveil.operators import pseudonymize
+from sparkveil.plans.config import Config
+from sparkveil.plans.office import apply_documents, scan_documents
+from sparkveil.plans.scan import decisions_of
+from sparkveil.sources import ooxml, ooxml_write, pages, tables
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 A = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
@@ -103,3 +107,80 @@ def test_pages(spark):
         bad.select(pages.page_text(F.col("t"), F.col("i"), F.col("o"))).collect()
     boxes = spark.createDataFrame([([("a", 0.0, 0.0, 5.0, 5.0, 0, 3), ("b", 6.0, 0.0, 9.0, 5.0, 4, 7)],)], "b array<struct<text:string,x0:double,y0:double,x1:double,y1:double,start:int,end:int>>")
     assert [(r["x0"], r["x1"]) for r in boxes.select(pages.boxes_for_span(F.col("b"), F.lit(3), F.lit(5)).alias("h")).first()["h"]] == [(5.0, 10.0)]
+
+
+def test_runs():
+    runs = ["Hans ", "Mei", "er", " geht"]
+    assert ooxml_write.spliced_runs(runs, [(5, 10, "[P]")]) == ["Hans ", "[P]", "", " geht"]
+    assert ooxml_write.spliced_runs(runs, [(0, 10, "[P]"), (11, 15, "kommt")]) == ["[P]", "", "", " kommt"]
+    assert ooxml_write.spliced_runs(["", "ab"], [(0, 1, "x")]) == ["", "xb"]
+    for bad in ((3, 3), (-1, 2), (14, 17)):
+        with pytest.raises(ooxml.SourceError):
+            ooxml_write.spliced_runs(runs, [(*bad, "x")])
+
+
+def test_references_follow_renamed_sheets():
+    new = {"Hans Meier": "PERSON_1", "Data": "New Data", "It's": "X"}
+    told = {
+        "SUM('Hans Meier'!A1:B2)+Data!C3": "SUM(PERSON_1!A1:B2)+'New Data'!C3",
+        'IF(A1="Data!A1";DATA!B1;Other!C1)': """IF(A1="Data!A1";'New Data'!B1;Other!C1)""",
+        "'It''s'!A1+MyData!B2+'My Data'!B2": "X!A1+MyData!B2+'My Data'!B2",
+        "SUM(Data:Other!A1)": "SUM('New Data:Other'!A1)",
+    }
+    for old, want in told.items():
+        assert ooxml_write.rewrite_references(old, new) == want
+    titles = ["Hans Meier", "PERSON_1", "Rest", "a" * 31]
+    renames = ooxml_write.sheet_renames(titles, {"title:Hans Meier": [(0, 10, "[PERSON_1]")], "title:Rest": [(0, 4, "[Hans]")], f"title:{'a' * 31}": [(0, 1, "[PERSON_22]")]}, ["hans"])
+    assert renames["Hans Meier"] == "PERSON_1_2" and renames["Rest"] == "Sheet_3" and len(renames["a" * 31]) <= 31
+
+
+BOOK = XLSX | {
+    "xl/workbook.xml": XLSX["xl/workbook.xml"].replace('name="Main"', 'name="Akte Meier"').replace('"Geheim"', "'Akte Meier'!A2"),
+    "xl/worksheets/sheet1.xml": XLSX["xl/worksheets/sheet1.xml"].replace("IF(A1", "IF('Akte Meier'!A1").replace('""X""', '""Meier""'),
+}
+
+
+def units(data, path):
+    return {u[0]: u[1] for u in ooxml.units_of(data, path)}
+
+
+def test_rewritten_documents():
+    book = ooxml_write.rewrite(package(BOOK), "b.xlsx", {"Akte Meier!A2": [(0, 10, "[P_1]")], "title:Akte Meier": [(5, 10, "[P_1]")], "Akte Meier!D2:s0": [(6, 11, "[P_1]")], "xl/worksheets/_rels/sheet1.xml.rels:h": [(7, 13, "[M_1]")], "Akte Meier!A2:comments": [(0, 6, "[C]")]}, ["Meier", "Hans Meier"])
+    got = units(book, "b.xlsx")
+    assert got["title:Akte P_1"] == "Akte P_1" and got["Akte P_1!A2"] == "[P_1]" and got["Akte P_1!D2:s0"] == 'Frau "[P_1]"' and got["name:N"] == "'Akte P_1'!A2"
+    assert got["xl/worksheets/_rels/sheet1.xml.rels:h"] == "mailto:%5BM_1%5D" and got["Akte P_1!A2:comments"] == "[C]" and got["Akte P_1!B2"] == "12345"
+    assert "meier" not in ooxml_write.text_of(book).lower()
+    page = ooxml_write.rewrite(package(DOCX), "a.docx", {"document:p0": [(3, 13, "[P_1]")], "document:f2": [(18, 24, "[M_1]")], "word/embeddings/in.xlsx:Main!A2": [(0, 10, "[P_1]")]})
+    got = units(page, "a.docx")
+    assert got["document:p0"] == "Han[P_1]ile" and got["document:f2"] == 'HYPERLINK "mailto:[M_1]"' and got["word/embeddings/in.xlsx:Main!A2"] == "[P_1]"
+    assert "hans" not in ooxml_write.text_of(page).lower(), "neither the texts nor the author"
+    show = units(ooxml_write.rewrite(package(PPTX), "c.pptx", {"slide1:p0": [(0, 12, "[P_1]")], "comment1:c0": [(0, 5, "[Q]")], "ppt/charts/chart1.xml:t0": [(0, 5, "[R]")]}), "c.pptx")
+    assert show["slide1:p0"] == "[P_1]" and show["comment1:c0"] == "[Q]" and show["ppt/charts/chart1.xml:t0"] == "[R]" and show["notesSlide1:p0"] == "Notiz"
+    assert ooxml_write.residual(package(DOCX), "a.docx", ["Hans Meier", "Zelle", "nirgends", "ab"]) == ["hans meier", "zelle"]
+    assert ooxml_write.residual(package(XLSX), "b.xlsx", ["name", "hans meier"]) == ["hans meier"], "headers are left alone"
+
+
+def test_documents_from_end_to_end(spark, tmp_path):
+    for name, parts in (("a.docx", DOCX), ("b.xlsx", BOOK), ("c.pptx", PPTX)):
+        (tmp_path / name).write_bytes(package(parts))
+    documents = ooxml.files(spark, f"{tmp_path}/*.*x")
+    config = Config(deny=("Hans Meier", "Meier", "x@y.de", "a@b.de"))
+    frames = scan_documents(documents, config)
+    written, mapping = apply_documents(documents, frames, decisions_of(frames.groups), pseudonymize.Mapping.empty(spark), f"file://{tmp_path}/out", config)
+    assert {r["written"].rpartition("/")[2] for r in written.collect()} == {"a_psd.docx", "b_psd.xlsx", "c_psd.pptx"}
+    for name in ("a_psd.docx", "b_psd.xlsx", "c_psd.pptx"):
+        said = ooxml_write.text_of((tmp_path / "out" / name).read_bytes()).lower()
+        assert "meier" not in said and "x@y.de" not in said
+    skipped = frames.groups.select("entity_type", "value_key", F.lit("skip").alias("action"))
+    same, _ = apply_documents(documents, frames, skipped, pseudonymize.Mapping.empty(spark), f"file://{tmp_path}/out2", config)
+    assert units((tmp_path / "out2" / "c_psd.pptx").read_bytes(), "c.pptx") == units(package(PPTX), "c.pptx")
+
+
+def test_a_value_that_is_left_stops_the_output(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.docx").write_bytes(package(DOCX | {"customXml/item1.xml": "<a b='Hans Meier'/>"}))
+    documents = ooxml.files(spark, f"{tmp_path}/a.docx")
+    config = Config(deny=("Hans Meier",))
+    frames = scan_documents(documents, config)
+    with pytest.raises(Exception, match="still in the output"):
+        apply_documents(documents, frames, decisions_of(frames.groups), pseudonymize.Mapping.empty(spark), f"file://{tmp_path}/out", config)
+    assert not (tmp_path / "out").exists()
