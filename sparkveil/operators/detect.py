@@ -97,6 +97,24 @@ def gate(f: Column, stopwords: Iterable[str] = (), trust: float = 0.85, vetoed:
     )
 
 
+def pos_veto(tags: Column) -> Callable[[Column], Column]:
+    """A veto for `gate` out of a tagger's verdicts: array<struct<start, end, pos>> of a text's tokens, null without a tagger.
+
+    A name is vetoed if none of the tokens that lie wholly inside it is a noun, proper noun or unknown word; and if it has eight
+    letters or more, ends like a German nominalization, and is a noun with no proper noun in it. A value inside a single
+    token has no verdict, and neither has a text without tags: the veto abstains.
+    """
+
+    def vetoed(f: Column) -> Column:
+        inside = F.filter(F.coalesce(tags, F.array().cast("array<struct<start:int,end:int,pos:string>>")), lambda t: (t["start"] >= f["start"]) & (t["end"] <= f["end"]))
+        of = lambda *kinds: F.exists(inside, lambda t: t["pos"].isin(*kinds))
+        value = text.clean(f["value"])
+        nominal = (F.length(value) >= 8) & value.rlike(text.NOMINAL_SUFFIX) & of("NOUN") & ~of("PROPN")
+        return (F.size(inside) > 0) & (~of("NOUN", "PROPN", "X") | nominal)
+
+    return vetoed
+
+
 def trim(f: Column) -> Column:
     """Names without noise or a title in front, their start moved along."""
     names = f["entity_type"].isin(*taxonomy.NER_ENTITIES)
@@ -129,8 +147,11 @@ def passes(f: Column, settings: dict | None = None, sensitivity: float = 0.0) ->
     return (F.coalesce(~f["validated"], F.lit(False))) | (f["score"] >= limit)
 
 
-def candidates(units: DataFrame, rules: list[Rule], allow: Iterable[str] = (), languages: tuple[str, ...] = ("de", "en"), extra: Column | None = None, given_names: Iterable[str] = (), products: Iterable[str] = (), settings: dict | None = None, sensitivity: float = 0.0, stopwords: Iterable[str] = ()) -> DataFrame:
-    """units with `found`: the findings of all rules of the unit's language that pass the gate. extra: findings of a model."""
+def candidates(units: DataFrame, rules: list[Rule], allow: Iterable[str] = (), languages: tuple[str, ...] = ("de", "en"), extra: Column | None = None, given_names: Iterable[str] = (), products: Iterable[str] = (), settings: dict | None = None, sensitivity: float = 0.0, stopwords: Iterable[str] = (), tags: str | None = None) -> DataFrame:
+    """units with `found`: the findings of all rules of the unit's language that pass the gate.
+
+    extra: findings of a model. tags: a column with a tagger's verdicts (see pos_veto).
+    """
     plain = text.neutralize(F.coalesce(F.col("text"), F.lit("")))
     told = [scan_sql("_plain", r) for r in rules if not r.languages]
     for lang in languages:
@@ -148,7 +169,8 @@ def candidates(units: DataFrame, rules: list[Rule], allow: Iterable[str] = (), l
     if allowed:
         out = out.withColumn("found", F.filter("found", lambda f: ~text.key(f["value"]).isin(*allowed)))
     out = out.withColumn("found", F.transform("found", lambda f: confirm(trim(f), given_names, products)))
-    out = out.withColumn("found", F.filter("found", lambda f: (F.length(f["value"]) > 0) & ~gate(f, stopwords)))
+    veto = None if tags is None else pos_veto(F.col(tags))
+    out = out.withColumn("found", F.filter("found", lambda f: (F.length(f["value"]) > 0) & ~gate(f, stopwords, vetoed=veto)))
     out = out.withColumn("found", F.transform("found", settle))
     return out.withColumn("found", F.filter("found", lambda f: passes(f, settings, sensitivity))).drop("_plain")
 

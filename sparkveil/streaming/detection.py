@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -27,9 +28,11 @@ def counts(units: DataFrame, rules: list[Rule], time: str = "ts", late: str = "1
     return rows.groupBy(F.window(time, width), F.col("f.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("findings"))
 
 
-def write_pseudonymized(units: DataFrame, rules: list[Rule], decide: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, key: str | None = None) -> DataStreamWriter:
-    """A writer that replaces decided values batch by batch under folder/batch=N, with the mapping in folder/mapping/N.
+def write_pseudonymized(units: DataFrame, rules: list[Rule], decide: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, key: str | None = None, compact: int = 100) -> DataStreamWriter:
+    """A writer that replaces decided values batch by batch under folder/output/batch=N.
 
+    A batch adds what it mints to folder/mapping/N (new entries and all counters, which are few), so its cost does not grow with
+    the stream's age; every `compact` batches the whole mapping is written to folder/mapping/whole=N, and reading begins there.
     A batch that is repeated after a failure begins with the mapping before it and writes the same folders again, so its
     tokens stay the same. The mapping is there before any text that uses it.
     """
@@ -38,12 +41,15 @@ def write_pseudonymized(units: DataFrame, rules: list[Rule], decide: Callable[[D
         spark = frame.sparkSession
         frame = frame.persist()
         try:
-            before = _mapping(spark, f"{folder}/mapping", number, key)
+            before = mapping_before(spark, f"{folder}/mapping", number, key)
             rows = findings(frame, rules)
             out, after = pseudonymize.apply(frame, rows, decide(rows), before)
-            for part in (f"{folder}/mapping/{number}", f"{folder}/output/batch={number}"):
+            for part in (f"{folder}/mapping/{number}", f"{folder}/mapping/whole={number}", f"{folder}/output/batch={number}"):
                 _remove(spark, part)
-            after.save(f"{folder}/mapping/{number}", key)
+            new = after.entries.join(before.entries.select("placeholder"), "placeholder", "left_anti").select(*after.entries.columns)
+            pseudonymize.Mapping(new, after.counters).save(f"{folder}/mapping/{number}", key)
+            if number % compact == compact - 1:
+                after.save(f"{folder}/mapping/whole={number}", key)
             out.write.parquet(f"{folder}/output/batch={number}")
         finally:
             frame.unpersist()
@@ -56,13 +62,19 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _mapping(spark: SparkSession, folder: str, number: int, key: str | None) -> pseudonymize.Mapping:
-    """The mapping of the last batch before this one."""
+def mapping_before(spark: SparkSession, folder: str, number: int = 1 << 62, key: str | None = None) -> pseudonymize.Mapping:
+    """The mapping (of folder/mapping) before a batch, or after the last one: the last whole one, and what batches have added since."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    there = [int(f.getPath().getName()) for f in store.listStatus(path)] if store.exists(path) else []
-    before = [n for n in there if n < number]
-    return pseudonymize.Mapping.load(spark, f"{folder}/{max(before)}", key) if before else pseudonymize.Mapping.empty(spark)
+    names = [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+    whole = [n for n in (int(x[6:]) for x in names if x.startswith("whole=")) if n < number]
+    last = max(whole, default=-1)
+    parts = [f"whole={last}"] * bool(whole) + [str(n) for n in sorted(int(x) for x in names if x.isdigit()) if last < n < number]
+    found = [pseudonymize.Mapping.load(spark, f"{folder}/{part}", key) for part in parts]
+    if not found:
+        return pseudonymize.Mapping.empty(spark)
+    entries = reduce(DataFrame.unionByName, [m.entries for m in found])
+    return pseudonymize.Mapping(entries, found[-1].counters)
 
 
 def run_once(writer: DataStreamWriter) -> StreamingQuery:
