@@ -9,8 +9,53 @@ from pyspark.sql import functions as F
 # Our own: names that letters are addressed to.
 GIVEN = ("Anna", "Bernd", "Clara", "Dieter", "Emma", "Frank", "Greta", "Hans", "Ida", "Jonas")
 SURNAMES = ("Mueller", "Koch", "Bergmann", "Stark", "Winter", "Okafor", "Lindqvist", "Yilmaz", "Petrov", "Sanchez")
-#: Strata of surnames, by place.
-STRATA = ("common noun", "rare", "foreign")
+#: Our own: surnames by what makes them hard. All of a stratum are asked for in all contexts.
+STRATA = {
+    "common_noun": ("Zimmermann", "Winter", "Stern", "Vogt", "Kaiser", "Linde"),
+    "rare": ("Oelschlegel", "Brinkhaus", "Tiedemann", "Rautenstrauch", "Hellwege"),
+    "foreign": ("Okafor", "Lindqvist", "Yilmaz", "Petrov", "Sanchez", "Kowalska"),
+    "particle": ("von Arnstedt", "van der Meulen", "de Boer", "zu Rantzau", "von der Heide"),
+    "hyphenated": ("Stark-Winter", "Voss-Albrecht", "Lange-Reimann"),
+    "transliterated": ("Đukić", "Šimková", "Ångström", "Phạm", "Þorsteinsson"),
+    "scanned": ("Bergrnann", "Lirnbach", "Wlnter", "Tiedernann"),
+}
+#: Contexts: what stands before and after the name, with {g} for the given name; whether the name is written otherwise.
+CONTEXTS = {
+    "salutation": ("Sehr geehrte Frau ", ", vielen Dank.", None),
+    "full_name": ("{g} ", " hat zugestimmt.", None),
+    "oblique": ("Das Gutachten hat ", " geprüft.", None),
+    "label": ("Kunde: ", "", None),
+    "bare": ("", "", None),
+    "signature": ("Mit freundlichen Grüßen, Herr {g} ", "", None),
+    "initial": ("Gezeichnet: {i}. ", ", heute", None),
+    "role": ("Der Einreicher ", " bestätigt es.", None),
+    "list": ("Verteiler: Einkauf, ", ", Vertrieb", None),
+    "birth_name": ("Die Kundin, geb. ", ", zog um.", None),
+    "preposition": ("Nach einem Gespräch mit ", " erledigt.", None),
+    "bare_upper": ("", "", "upper"),
+    "bare_lower": ("", "", "lower"),
+    "label_upper": ("KUNDE: ", "", "upper"),
+    "file_name": ("AKTE_", "_2024", None),
+    "path": ("/daten/Vertrag_", "_final.docx", None),
+}
+#: Contexts whose words alone give the name away.
+ANCHORED = ("salutation", "label", "signature", "initial", "role", "birth_name", "label_upper")
+#: Facts of special categories: entity type, what must go, and the sentence around it. The last ones name nothing that any list of a rule holds.
+SPECIAL_PROBES = {
+    "health_aid": ("DE_HEALTH_DATA", "Rollstuhl", "Sie ist seither auf den {v} angewiesen."),
+    "health_therapy": ("DE_HEALTH_DATA", "Chemotherapie", "Wegen der {v} kommt er später."),
+    "religion_place": ("DE_RELIGION", "Synagoge", "Er geht freitags in die {v} am Markt."),
+    "religion_feast": ("DE_RELIGION", "Ramadan", "Im {v} kommt sie abends."),
+    "union_body": ("DE_UNION_PARTY", "Betriebsrat", "Er sitzt im {v} des Werks."),
+    "party": ("DE_UNION_PARTY", "SPD", "Sie tritt für die {v} an."),
+    "partner": ("DE_SEX_LIFE", "ihrer Ehefrau", "Sie kommt mit {v} zum Termin."),
+    "origin": ("NRP", "Spätaussiedler", "Die Familie kam als {v} hierher."),
+    "held_out_illness": ("DE_HEALTH_DATA", "Zöliakie", "Der Kunde leidet an {v}."),
+    "held_out_state": ("DE_HEALTH_DATA", "Kniespiegelung", "Er ist krankgeschrieben wegen einer {v}."),
+    "held_out_faith": ("DE_RELIGION", "Taoismus", "Er konvertierte im Jahr 2018 zum {v}."),
+    "held_out_body": ("DE_UNION_PARTY", "Wirtschaftsausschuss", "Sie wurde in den {v} gewählt."),
+    "held_out_descent": ("NRP", "usbekischstämmig", "Die Familie ist {v} und lebt hier."),
+}
 
 
 def pick(values: tuple[str, ...], n: Column) -> Column:
@@ -46,9 +91,39 @@ def letters(customer: DataFrame) -> DataFrame:
     return made.select("doc_id", F.concat(F.lit("p"), F.col("u.k").cast("string")).alias("unit_id"), F.col("u.k").cast("long").alias("unit_ord"), "u.text", "u.planted", "u.entity_type", "u.context_kind")
 
 
+def identifying(name: Column) -> Column:
+    """The words of a name that must go: without particles in front, and both halves of a double name."""
+    from ..functions.text import PARTICLES
+
+    bare = F.regexp_replace(name, rf"^(?:(?:{'|'.join(PARTICLES)}) )+", "")
+    return F.filter(F.split(bare, r"(?U)[\s-]+"), lambda w: w != "")
+
+
+def planted_names(customers: DataFrame) -> DataFrame:
+    """A name of each stratum in each context, in turn by customer (column n): units, with planted, stratum, context_kind."""
+    places = [(k, s, c, *CONTEXTS[c], list(STRATA[s])) for k, (s, c) in enumerate((s, c) for s in STRATA for c in CONTEXTS)]
+    table = customers.sparkSession.createDataFrame(places, "k int, stratum string, context_kind string, before string, after string, written string, names array<string>")
+    n = F.col("n")
+    joined = customers.join(F.broadcast(table), F.pmod(n, F.lit(len(places))) == F.col("k"))  # a row for each place
+    given = pick(GIVEN, n)
+    name = F.element_at("names", (F.pmod(F.floor(n / len(places)), F.size("names")) + 1).cast("int"))
+    name = F.when(F.col("written") == "upper", F.upper(name)).when(F.col("written") == "lower", F.lower(name)).otherwise(name)
+    lead = F.replace(F.replace(F.col("before"), F.lit("{g}"), given), F.lit("{i}"), F.substring(given, 1, 1))
+    return joined.select(
+        n.cast("string").alias("doc_id"), F.lit("u").alias("unit_id"), F.lit(0).cast("long").alias("unit_ord"), F.lit("PERSON").alias("entity_type"), F.concat(lead, name, "after").alias("text"), name.alias("planted"), "stratum", "context_kind"
+    )
+
+
+def planted_facts(customers: DataFrame) -> DataFrame:
+    """A sentence with a fact of a special category, in turn by customer (column n): units, with planted, entity_type, context_kind."""
+    made = [F.struct(F.lit(said.replace("{v}", v)).alias("text"), F.lit(v).alias("planted"), F.lit(e).alias("entity_type"), F.lit(k).alias("context_kind")) for k, (e, v, said) in SPECIAL_PROBES.items()]
+    one = F.element_at(F.array(*made), (F.pmod("n", F.lit(len(made))) + 1).cast("int"))
+    return customers.select(F.col("n").cast("string").alias("doc_id"), F.lit("u").alias("unit_id"), F.lit(0).cast("long").alias("unit_ord"), one.alias("u")).select("doc_id", "unit_id", "unit_ord", "u.*")
+
+
 def covered(value: Column, found: Column) -> Column:
     """Whether findings, taken together, cover all words of a value. found: array of texts."""
-    words = F.filter(F.split(F.lower(value), r"(?U)[\s-]+"), lambda w: w != "")
+    words = identifying(F.lower(value))
     told = F.flatten(F.transform(found, lambda f: F.split(F.lower(f), r"(?U)[\s-]+")))
     return F.forall(words, lambda w: F.array_contains(told, w))
 
@@ -77,4 +152,4 @@ def score(manifest: DataFrame, findings: DataFrame, harmless: tuple[str, ...] =
     return joined.groupBy("kind").agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("claimed"))
 
 
-__all__ = ["check_digits", "covered", "letters", "pick", "recall", "score"]
+__all__ = ["check_digits", "covered", "identifying", "letters", "pick", "planted_facts", "planted_names", "recall", "score"]

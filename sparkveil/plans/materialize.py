@@ -6,7 +6,22 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one."""
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if found is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="sparkveil-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(found)
+    return found
 
 
 def materialized(frame: DataFrame) -> DataFrame:
@@ -14,14 +29,5 @@ def materialized(frame: DataFrame) -> DataFrame:
 
     A lost executor does not lose them, and neither the scan of all rules nor its plan is repeated by what follows.
     """
-    sc = frame.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:  # a folder of this process
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="sparkveil-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            folder = f"file://{folder}"
-        sc.setCheckpointDir(folder)
+    shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
