@@ -7,6 +7,9 @@ import json
 from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 from ..functions import taxonomy
 from ..functions.rules import Rule, custom_rules, default_rules, deny_rule
 from ..operators.document import TOPICAL
@@ -79,9 +82,10 @@ def _class_of(entity: str) -> str:
 
 def load_config(path: str | None) -> Config:
     """A JSON configuration over the defaults; unknown keys are an error. Own rules of a shipped name replace nothing: they are added."""
-    if path is None:
-        return Config()
-    told = json.loads(Path(path).read_text(encoding="utf-8"))
+    return Config() if path is None else _made(json.loads(Path(path).read_text(encoding="utf-8")))
+
+
+def _made(told: dict) -> Config:
     unknown = set(told) - set(Config.__dataclass_fields__)
     if unknown:
         raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
@@ -97,6 +101,28 @@ def save_config(config: Config, path: str) -> None:
     Path(path).write_text(json.dumps(asdict(config), ensure_ascii=False, indent=1, sort_keys=True), encoding="utf-8")
 
 
+#: Lists that may name people, and are not written in the clear where there is a key.
+SECRET_LISTS = ("allow", "deny", "given_names")
+
+
+def save_sealed(spark: SparkSession, config: Config, path: str, key: str) -> None:
+    """A configuration whose lists of names are encrypted with a key (16, 24 or 32 characters)."""
+    plain = asdict(config)
+    lists = json.dumps({name: plain.pop(name) for name in SECRET_LISTS}, ensure_ascii=False)
+    # as data of a local row, so that no plan shows the key
+    sealed = spark.createDataFrame([(lists, key)], "t string, k string").select(F.base64(F.aes_encrypt("t", "k")).alias("s")).first()["s"]
+    Path(path).write_text(json.dumps(plain | {"sealed": sealed}, ensure_ascii=False, indent=1, sort_keys=True), encoding="utf-8")
+
+
+def load_sealed(spark: SparkSession, path: str, key: str) -> Config:
+    """The configuration of such a file; a wrong key is an error, and never an empty list."""
+    told = json.loads(Path(path).read_text(encoding="utf-8"))
+    lists = spark.createDataFrame([(told.pop("sealed"), key)], "s string, k string").select(F.expr("cast(try_aes_decrypt(unbase64(s), k) as string)").alias("t")).first()["t"]
+    if lists is None:
+        raise ValueError(f"the key does not fit {path}")
+    return _made(told | json.loads(lists))
+
+
 def config_hash(config: Config) -> str:
     """16 digits that change with any setting."""
     return hashlib.sha256(json.dumps(asdict(config), sort_keys=True, default=str).encode()).hexdigest()[:16]

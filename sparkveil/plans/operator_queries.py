@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -92,9 +93,19 @@ def _xlsx(n: int, name: str) -> bytes:
     })
 
 
+def _pdf(n: int, name: str) -> bytes:
+    said = zlib.compress(f"BT /F 12 Tf 72 700 Td (Kunde {name[:3]}) Tj ({name[3:]}) Tj 0 -20 Td (Vertrag Nummer {n} liegt vor) Tj ET".encode())
+    stream = f"<< /Length {len(said)} /Filter /FlateDecode >>\nstream\n".encode() + said + b"\nendstream"
+    objects = (
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Kids [3 0 R] >>",
+        f"<< /Type /Page /Contents 5 0 R /Resources << /Font << /F 4 0 R >> >> /Annots [<< /A << /URI (mailto:a{n}@b.de) >> >> << /T (Name) /V ({name}) >>] >>".encode(), b"<< /Type /Font /Subtype /Type1 >>", stream,
+    )
+    return b"%PDF-1.7\n" + b"".join(f"{k} 0 obj\n".encode() + o + b"\nendobj\n" for k, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>"
+
+
 def _documents(spark: SparkSession, sf_dir: str, end: str) -> DataFrame:
     """A document of a kind for each nation."""
-    make = {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx}[end]
+    make = {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx, "pdf": _pdf}[end]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -130,6 +141,10 @@ A_PPTX = _units_sql(
     "pptx", ("'slide1:p0'", "'Kunde' || chr(10) || v", _NO, _NO, _NO, "paragraph"), ("'notesSlide1:p0'", "'Notiz ' || n", _NO, _NO, _NO, "paragraph"),
     ("'ppt/charts/chart1.xml:t0'", "'Umsatz ' || n", _NO, _NO, _NO, "chart"), ("'ppt/slides/_rels/slide1.xml.rels:r1'", "'mailto:a' || n || '@b.de'", _NO, _NO, _NO, "link"),
 )
+A_PDF = _units_sql(
+    "pdf", ("'page1'", "'Kunde ' || v || chr(10) || 'Vertrag Nummer ' || n || ' liegt vor'", _NO, _NO, _NO, "page"), ("'page1:field0'", "v", "'Name'", _NO, _NO, "field"),
+    ("'page1:link0'", "'mailto:a' || n || '@b.de'", _NO, _NO, _NO, "link"),
+)
 _CELL = "'Akte ' || v || '!"
 A_XLSX = _units_sql(
     "xlsx", ("'title:Akte ' || v", "'Akte ' || v", _NO, _NO, _NO, "sheet_title"), (f"{_CELL}A2'", "v", "'Name'", "'A'", "2", "cell"), (f"{_CELL}B2'", "(1000000 + n)::varchar", "'Konto'", "'B'", "2", "cell"),
@@ -663,6 +678,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "a_docx_units": (_read_back("docx"), A_DOCX),
     "a_pptx_units": (_read_back("pptx"), A_PPTX),
     "a_xlsx_units": (_read_back("xlsx"), A_XLSX),
+    "a_pdf_units": (_read_back("pdf"), A_PDF),
     "a_docx_rewritten": (_rewritten("docx"), _rewritten_sql(A_DOCX)),
     "a_pptx_rewritten": (_rewritten("pptx"), _rewritten_sql(A_PPTX)),
     "a_xlsx_rewritten": (_rewritten("xlsx"), _rewritten_sql(A_XLSX)),

@@ -1,4 +1,4 @@
-"""Office documents (docx, xlsx, xlsm, pptx) as units, read from bytes with zip and XML alone.
+"""Documents as units by their extension: Office documents (docx, xlsx, xlsm, pptx), read from bytes with zip and XML alone, and PDF.
 
 Files are read by Spark's binaryFile source and unpacked in Python, a document at a time: a document is a few megabytes
 and has to be parsed as a whole. Anything that cannot be read raises; a document is never skipped in silence.
@@ -169,12 +169,17 @@ def _aux(z: zipfile.ZipFile, depth: int) -> Iterator[tuple]:
 
 
 _READERS = {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx, "xlsm": _xlsx}
-UNSUPPORTED = {"doc", "xls", "ppt", "pdf"}
+UNSUPPORTED = {"doc", "xls", "ppt"}
 
 
 def units_of(data: bytes, path: str, depth: int = 2) -> Iterator[tuple]:
     """unit_id, text, header, sheet, col, row, kind of a document's parts, in order."""
     end = path.rpartition(".")[2].lower()
+    if end == "pdf":
+        from . import pdf
+
+        yield from pdf.units_of(data)
+        return
     if end not in _READERS:
         raise SourceError(f"no reader for {end} files" + (": convert them first" if end in UNSUPPORTED else ""))
     try:

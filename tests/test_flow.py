@@ -249,3 +249,13 @@ def test_keys_of_mappings(spark, tmp_path):
             pass
     with pseudonymize.lock(spark, folder, timeout=0.3):
         pass
+
+
+def test_sealed_lists(spark, tmp_path):
+    config = cfg.Config(deny=("Hans Meier",), allow=("Feldmann",), sensitivity=0.1)
+    cfg.save_sealed(spark, config, f"{tmp_path}/c.json", "k" * 16)
+    said = (tmp_path / "c.json").read_text()
+    assert "Meier" not in said and "Feldmann" not in said and "0.1" in said
+    assert cfg.config_hash(cfg.load_sealed(spark, f"{tmp_path}/c.json", "k" * 16)) == cfg.config_hash(config)
+    with pytest.raises(ValueError, match="does not fit"):
+        cfg.load_sealed(spark, f"{tmp_path}/c.json", "x" * 16)
