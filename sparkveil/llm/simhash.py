@@ -40,6 +40,8 @@ from .components import components
 SHINGLE = 4
 DISTANCE = 4
 CROWD = 2048
+#: Rows of a key, and values that keys are counted by.
+HOT_ROWS, BUCKETS = 100_000, 1 << 16
 #: Members, about, that every block of a large group is compared with.
 HUBS = 32
 #: Segments that a key takes parts of. With a distance of 4 three make 30 keys of 23 bits a fingerprint, so a key of unlike
@@ -243,7 +245,7 @@ def _ball_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(points.view(np.int64)), pa.array(nodes)], names=["point", "node"])
 
 
-def link(nodes: DataFrame, distance: int = DISTANCE, words: int = 1, total: int | None = None, crowd: int = CROWD, depth: int = DEPTH) -> DataFrame:
+def link(nodes: DataFrame, distance: int = DISTANCE, words: int = 1, total: int | None = None, crowd: int = CROWD, depth: int = DEPTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """u, v: edges that tie together all that links tie together, of different fingerprints (node, m0, m1, ...)."""
     layouts = [(w, start, ranges) for w in range(words) for start, ranges in key_layouts(distance, depth)]
     width = max(sum(n for _, n in ranges) for _, _, ranges in layouts)
@@ -253,10 +255,26 @@ def link(nodes: DataFrame, distance: int = DISTANCE, words: int = 1, total: int
         keys.append(F.shiftleft(_key(F.col(f"m{w}"), kind, ranges), short))
     plan = Plan(distance, words, 64 * words if total is None else total, crowd, width, tuple((w, start) for w, start, _ in layouts))
     keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *_names(words))
-    return linked(nodes, keyed, plan)
+    return linked(nodes, keyed, plan, hot_rows)
 
 
-def linked(nodes: DataFrame, keyed: DataFrame, plan: Plan) -> DataFrame:
+def _hot_keys(keyed: DataFrame, hot_rows: int) -> DataFrame | None:
+    """Keys of more than `hot_rows` rows that stand out, which go the exact other way before any task has gathered them.
+
+    Rows are counted by 65,536 values of a hash, in the tasks that make them; only where a value has many more than the others
+    are its keys counted one by one.
+    """
+    value = F.pmod(F.xxhash64("key"), F.lit(BUCKETS))
+    counts = cut(keyed.groupBy(value.alias("_value")).agg(F.count(F.lit(1)).alias("n")))  # a row for each value
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = counts.where(F.col("n") > hot_rows + 1.2 * total / BUCKETS).select("_value")
+    if heavy.isEmpty():
+        return None
+    some = keyed.withColumn("_value", value).join(F.broadcast(heavy), "_value")
+    return cut(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("key"))
+
+
+def linked(nodes: DataFrame, keyed: DataFrame, plan: Plan, hot_rows: int = HOT_ROWS) -> DataFrame:
     """u, v: edges that tie together what links tie together, of nodes (node, m0, m1, ...) that meet under a key (key, node, m0, ...)."""
     words, distance, crowd = plan.words, plan.distance, plan.crowd
     own = _names(words)
@@ -267,9 +285,12 @@ def linked(nodes: DataFrame, keyed: DataFrame, plan: Plan) -> DataFrame:
         sorted_ = keyed.select("key", "node", *own, *kind).repartition("key").sortWithinPartitions("key", "node")
         return sorted_.mapInArrow(partial(_tie_batches, plan=how), edge)
 
-    tied = cut(compare(keyed, plan))
+    hot = _hot_keys(keyed, hot_rows)
+    tied = cut(compare(keyed if hot is None else keyed.join(hot, "key", "left_anti"), plan))
     edges = tied.where("not crowded").select("u", "v")
     crowded = tied.where("crowded").select(F.col("u").alias("node"), F.col("v").alias("key"), "kind")
+    if hot is not None:
+        crowded = cut(crowded.unionByName(keyed.join(hot, "key").select("node", "key", F.shiftright("key", plan.width).cast("int").alias("kind"))))
     if crowded.isEmpty():
         return edges
     if words == 1 and distance <= 4:

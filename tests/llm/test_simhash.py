@@ -60,8 +60,14 @@ def test_links_lose_nothing(spark, distance, words, total, crowd):
     apart = lambda i, j: [(a ^ b).bit_count() for a, b in zip(marks[i], marks[j])]
     near = lambda i, j: min(apart(i, j)) <= distance and (total is None or sum(apart(i, j)) <= total)
     want = brute.components(list(range(len(marks))), near)
-    root = {r["node"]: r["root"] for r in components(simhash.link(nodes, distance, words, total, crowd)).collect()}
-    assert [root.get(k, k) for k in range(len(marks))] == want
+    for hot in (simhash.HOT_ROWS, 3):
+        root = {r["node"]: r["root"] for r in components(simhash.link(nodes, distance, words, total, crowd, hot_rows=hot)).collect()}
+        assert [root.get(k, k) for k in range(len(marks))] == want
+
+
+def test_hot_keys(spark):
+    rows = spark.range(5000).select((F.col("id") % 1000).alias("key"), F.col("id").alias("node")).unionByName(spark.range(400).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node")))
+    assert [r["key"] for r in simhash._hot_keys(rows, 100).collect()] == [7] and simhash._hot_keys(rows, 1000) is None and simhash._hot_keys(rows.limit(0), 1) is None
 
 
 def test_long_chain_and_no_edges(spark):
