@@ -141,6 +141,9 @@ A_PPTX = _units_sql(
     "pptx", ("'slide1:p0'", "'Kunde' || chr(10) || v", _NO, _NO, _NO, "paragraph"), ("'notesSlide1:p0'", "'Notiz ' || n", _NO, _NO, _NO, "paragraph"),
     ("'ppt/charts/chart1.xml:t0'", "'Umsatz ' || n", _NO, _NO, _NO, "chart"), ("'ppt/slides/_rels/slide1.xml.rels:r1'", "'mailto:a' || n || '@b.de'", _NO, _NO, _NO, "link"),
 )
+A_PDF_COPY = _NATIONS + """
+select n || '.pdf' as doc_id, 'page1' as unit_id, 'Kunde [PERSON_1]' || chr(10) || 'Vertrag Nummer ' || n || ' liegt vor' as text from d union all
+select n || '.pdf', 'page2', 'Name: [PERSON_1]' || chr(10) || 'mailto:a' || n || '@b.de' from d"""
 A_PDF = _units_sql(
     "pdf", ("'page1'", "'Kunde ' || v || chr(10) || 'Vertrag Nummer ' || n || ' liegt vor'", _NO, _NO, _NO, "page"), ("'page1:field0'", "v", "'Name'", _NO, _NO, "field"),
     ("'page1:link0'", "'mailto:a' || n || '@b.de'", _NO, _NO, _NO, "link"),
@@ -682,6 +685,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "a_docx_rewritten": (_rewritten("docx"), _rewritten_sql(A_DOCX)),
     "a_pptx_rewritten": (_rewritten("pptx"), _rewritten_sql(A_PPTX)),
     "a_xlsx_rewritten": (_rewritten("xlsx"), _rewritten_sql(A_XLSX)),
+    "a_pdf_rewritten": (_rewritten("pdf"), A_PDF_COPY),
     "a_page_policy": (a_page_policy, A_PAGES),
     "a_written_tables": (a_written_tables, A_WRITTEN),
     "a_csv_units": (a_csv_units, A_CSV),

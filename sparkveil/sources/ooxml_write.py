@@ -1,4 +1,4 @@
-"""Writing replacements back into Office documents (docx, xlsx, xlsm, pptx), and proof that nothing of a value is left.
+"""Writing replacements back into documents (docx, xlsx, xlsm, pptx; PDF by `pdf`), and proof that nothing of a value is left.
 
 Units are found again by their ids, in the order in which `ooxml` reads them. A replacement lands in the first run that its
 span touches, with that run's looks; other runs lose what the span covers. Cells become inline texts, and shared strings that
@@ -271,6 +271,10 @@ def _xlsx(z: zipfile.ZipFile, changes: dict[str, list[Change]], removed: Iterabl
 def rewrite(data: bytes, path: str, changes: dict[str, list[Change]], removed: Iterable[str] = (), depth: int = 2) -> bytes:
     """A document with replacements (unit_id -> spans) and without the properties that name its author."""
     end = path.rpartition(".")[2].lower()
+    if end == "pdf":
+        from . import pdf
+
+        return pdf.rewrite(data, changes)
     if end not in _READERS:
         raise SourceError(f"no writer for {end} files")
     out = io.BytesIO()
@@ -341,6 +345,15 @@ def text_of(data: bytes, depth: int = 2) -> str:
     return "\n".join(s for s in said if s.strip())
 
 
+def _all_text(data: bytes, path: str) -> str:
+    """All texts of a document by its extension."""
+    if path.rpartition(".")[2].lower() == "pdf":
+        from . import pdf
+
+        return "\n".join(f"{u[2] or ''}\n{u[1]}" for u in pdf.units_of(data))
+    return text_of(data)
+
+
 def column_headers(data: bytes, path: str) -> set[str]:
     """The texts of the first row of each sheet, which verification leaves alone."""
     if path.rpartition(".")[2].lower() not in ("xlsx", "xlsm"):
@@ -359,7 +372,7 @@ def residual(data: bytes, path: str, removed: Iterable[str], always: Iterable[st
 
     forced = {v.lower() for v in always}
     exempt = {h.strip().lower() for h in column_headers(data, path)} - forced
-    blob = text_of(data).lower()
+    blob = _all_text(data, path).lower()
     # a token that merely contains a value is no trace of it
     bare = re.sub(TOKEN, lambda m: m[0] if m[0][1:-1] in wanted else "\0", blob, flags=re.I) if (wanted := {v.strip().lower() for v in removed}) else blob
     flat = re.sub(r"[ \t]+", "", bare)

@@ -1,7 +1,11 @@
 """PDF files as units: the words of each page with their boxes, form fields, notes and links, read with zlib alone.
 
 A document is read as a whole in one task. What a file's text cannot be told from raises: encryption, filters that are not
-text, a page that is one large picture and was not recognised. Files are read, not written.
+text, a page that is one large picture and was not recognised.
+
+A file is written back as a copy of its words: each at its place, what was replaced as a black bar with the token on it, and
+fields, notes and links as lines of a page of their own. Pictures, drawings, hidden layers, properties and everything else that
+nobody has looked at do not go with it.
 """
 
 from __future__ import annotations
@@ -236,6 +240,7 @@ class Page:
     fields: list[tuple[str, str]] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
     links: list[str] = field(default_factory=list)
+    box: tuple[float, ...] = (0, 0, 612, 792)
 
 
 class Pdf:
@@ -347,6 +352,7 @@ class Pdf:
         streams = [self.get(c) for c in contents] if isinstance(contents, list) else [contents] if contents else []
         body = b"\n".join(self.decoded(s) for s in streams if isinstance(s, Stream))
         box = [float(self.get(v)) for v in self.get(own.get("MediaBox")) or (0, 0, 612, 792)]
+        page.box = tuple(box)
         area = max(1.0, abs((box[2] - box[0]) * (box[3] - box[1])))
         glyphs: list[tuple[str, float, float, float, float]] = []
         images: list[float] = []
@@ -587,3 +593,67 @@ def units_of(data: bytes, ocr: OcrBackend | None = None) -> Iterator[tuple]:
             for j, value in enumerate(texts):
                 if value.strip():
                     yield f"page{k + 1}:{kind}{j}", value, None, None, None, None, kind
+
+
+def _shown(text: str) -> bytes:
+    """A text as a string object in the writer's encoding; a character that it lacks by its plain letter, else a question mark."""
+    plain = "".join(c if c.encode("cp1252", "ignore") else unicodedata.normalize("NFKD", c)[:1] for c in text)
+    return b"(" + re.sub(rb"([()\\\\])", rb"\\\1", plain.encode("cp1252", "replace")) + b")"
+
+
+def _drawn(word: Word, bar: bool) -> bytes:
+    """The content that draws a word, on a black bar if it stands for something."""
+    size = max(1.0, word.y1 - word.y0)
+    wide = max(0.1, word.x1 - word.x0)
+    scale = 100 * wide / max(0.1, 0.5 * size * len(word.text))  # Helvetica is about half as wide as high
+    back = b"0 g %.2f %.2f %.2f %.2f re f " % (word.x0, word.y0, wide, size) if bar else b""
+    return back + b"BT /F %.2f Tf %.1f Tz %s %.2f %.2f Td " % (size, min(300.0, max(10.0, scale)), b"1 g" if bar else b"0 g", word.x0, word.y0) + _shown(word.text) + b" Tj ET\n"
+
+
+def rewrite(data: bytes, changes: dict[str, list[tuple[int, int, str]]]) -> bytes:
+    """The copy of a file with replacements (unit_id -> spans start, end, token)."""
+    from .ooxml_write import spliced
+
+    pages, extra = pages_of(data), []
+    bodies: list[tuple[bytes, tuple[float, ...]]] = []
+    for k, page in enumerate(pages):
+        body = b""
+        told = sorted(changes.get(f"page{k + 1}", ()))
+        for start, end, _ in told:
+            if not 0 <= start < end <= len(page.text):
+                raise SourceError(f"a span from {start} to {end} is outside page {k + 1}")
+        done: set[int] = set()
+        for w in page.words:
+            hit = [j for j, (start, end, _) in enumerate(told) if start < w.end and w.start < end]
+            if not hit:
+                body += _drawn(w, False)
+                continue
+            # what of the word stays, and the token where its span begins
+            at, parts = w.start, []
+            for j in hit:
+                start, end, token = told[j]
+                parts.append(w.text[at - w.start : max(at, start) - w.start])
+                if j not in done:
+                    parts.append(token)
+                    done.add(j)
+                at = max(at, min(end, w.end))
+            said = "".join(parts) + w.text[at - w.start :]
+            body += _drawn(Word(said or " ", w.x0, w.y0, w.x1, w.y1), True)
+        bodies.append((body, page.box))
+        units = [(f"page{k + 1}:field{j}", v, f"{n}: " if n else "") for j, (n, v) in enumerate(page.fields)]
+        units += [(f"page{k + 1}:{kind}{j}", v, "") for kind, texts in (("note", page.notes), ("link", page.links)) for j, v in enumerate(texts)]
+        extra += [lead + spliced(v, changes.get(unit, ())) for unit, v, lead in units if v.strip()]
+    for i in range(0, len(extra), 50):
+        lines = [w for j, line in enumerate(extra[i : i + 50]) for w in [Word(" ".join(line.split()), 50, 780 - 15 * j, 50 + 5 * len(line), 790 - 15 * j)] if w.text]
+        bodies.append((b"".join(_drawn(w, False) for w in lines), (0, 0, 612, 842)))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(bodies), b" ".join(b"%d 0 R" % (4 + 2 * k) for k in range(len(bodies)))), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding /FirstChar 32 /Widths [%s] >>" % (b"500 " * 224)]
+    for k, (body, box) in enumerate(bodies):
+        packed = zlib.compress(body)
+        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [%s] /Resources << /Font << /F 3 0 R >> >> /Contents %d 0 R >>" % (b" ".join(b"%.2f" % v for v in box), 5 + 2 * k))
+        objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(packed), packed))
+    out, places = b"%PDF-1.7\n", []
+    for number, o in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (number, o)
+    table = b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
+    return out + table + b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, len(out))

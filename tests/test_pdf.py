@@ -3,7 +3,11 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from sparkveil.sources import ooxml, pages, pdf
+from sparkveil.operators import pseudonymize
+from sparkveil.plans.config import Config
+from sparkveil.plans.office import apply_documents, scan_documents
+from sparkveil.plans.scan import decisions_of
+from sparkveil.sources import ooxml, ooxml_write, pages, pdf
 
 CONTENT = b"""BT /F1 12 Tf 72 700 Td (Kunde: Hans) Tj ( Mei) Tj [(e) -20 (r)] TJ 0 -20 Td (Stra\\337e 5) Tj T* ET
 BT /F2 10 Tf 1 0 0 1 72 600 Tm <00010002> Tj 100 0 Td <0003> Tj ET
@@ -93,3 +97,32 @@ def test_spans_to_boxes(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(build(OBJECTS))
     assert {r["unit_id"] for r in ooxml.read(spark, f"{tmp_path}/*.pdf").collect()} == {"page1", "page1:field0", "page1:note0", "page1:link0", "page2"}
+
+
+def test_rewritten():
+    text = pdf.pages_of(build(OBJECTS))[0].text
+    at = text.index("Hans Meier")
+    copy = pdf.rewrite(build(OBJECTS), {"page1": [(at, at + 10, "[PERSON_1]"), (text.index("5"), text.index("5") + 1, "[N]")], "page1:field0": [(0, 2, "[F]")], "page1:link0": [(7, 13, "[M]")]})
+    got = {u[0]: u[1] for u in pdf.units_of(copy)}
+    assert got["page1"].split() == "Kunde: [PERSON_1] Straße [N] Äb c In einer Form".split()
+    assert got["page2"].split() == "Zweite Seite mit genug Text darauf und noch eine Zeile".split()
+    assert got["page3"].splitlines() == ["Name: [F]", "Anmerkung (1)", "mailto:[M]"]
+    assert b"Hans" not in copy and not any(x in "".join(got.values()) for x in ("Hans", "Meier", "a@b.de", "Jö"))
+    inside = pdf.rewrite(build(OBJECTS), {"page1": [(at - 2, at + 7, "[P]")]})  # from within one word into another
+    assert pdf.pages_of(inside)[0].text.split()[:2] == ["Kunde[P]", "ier"]
+    odd = pdf.rewrite(build(OBJECTS | {14: stream("", b"BT /F2 10 Tf 72 600 Td <0001> Tj ET BT /F1 9 Tf 90 600 Td (a\\\\\\(b) Tj ET")}), {})
+    assert pdf.pages_of(odd)[1].text == "Ä a\\(b"
+    with pytest.raises(ooxml.SourceError):
+        pdf.rewrite(build(OBJECTS), {"page1": [(0, 10_000, "x")]})
+    assert ooxml_write.residual(build(OBJECTS), "a.pdf", ["Hans Meier", "nirgends", "Name"]) == ["hans meier", "name"]
+
+
+def test_from_end_to_end(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(build(OBJECTS))
+    documents = ooxml.files(spark, f"{tmp_path}/a.pdf")
+    config = Config(deny=("Hans Meier", "a@b.de"))
+    frames = scan_documents(documents, config)
+    written, _ = apply_documents(documents, frames, decisions_of(frames.groups), pseudonymize.Mapping.empty(spark), f"file://{tmp_path}/out", config)
+    assert [r["written"].rpartition("/")[2] for r in written.collect()] == ["a_psd.pdf"]
+    said = "".join(u[1] for u in pdf.units_of((tmp_path / "out" / "a_psd.pdf").read_bytes()))
+    assert "Meier" not in said and "[PERSON_1]" in said and "mailto:[REDACTED]" in said and "a@b.de" not in said
