@@ -38,11 +38,6 @@ def changed(f: Column, **fields: Column) -> Column:
     return F.struct(*[fields.get(n, f[n]).alias(n) for n in names]).cast(FINDING)
 
 
-def _quoted(value: str) -> str:
-    """A text as a literal of SQL."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _paired(pattern: str) -> str:
     """A match with the gap before it, anchored at the end of the last one; flags first."""
     flags, rest = pattern[: pattern.index(")") + 1], pattern[pattern.index(")") + 1 :]
@@ -52,19 +47,19 @@ def _paired(pattern: str) -> str:
 def scan_sql(column: str, rule: Rule, boost: float = CONTEXT_BOOST, near: int = CONTEXT_TOKENS) -> str:
     """A rule's findings in a column, as SQL: one text to parse in place of some sixty calls to the JVM for each rule."""
     pattern = compile_rule(rule)
-    both = f"arrays_zip(regexp_extract_all({column}, {_quoted(_paired(pattern))}, 1), regexp_extract_all({column}, {_quoted(_paired(pattern))}, 2))"
+    both = f"arrays_zip(regexp_extract_all({column}, {text.quoted(_paired(pattern))}, 1), regexp_extract_all({column}, {text.quoted(_paired(pattern))}, 2))"
     start, end = "a.at + length(m.`0`)", "a.at + length(m.`0`) + length(m.`1`)"
     step = f"named_struct('at', {end}, 'found', concat(a.found, array(named_struct('start', {start}, 'end', {end}, 'value', m.`1`))))"
     places = f"aggregate({both}, named_struct('at', 0, 'found', cast(array() as array<struct<start:int,end:int,value:string>>)), (a, m) -> {step}, a -> a.found)"
     score = f"{rule.score}D"
     if rule.context:
-        tokens = f"split(lower(regexp_replace(substring(substring({column}, 1, m.start), -120, 120), {_quoted(r'(?U)^[\s,;()]+|[\s,;()]+$')}, '')), {_quoted(r'(?U)[\s,;()]+')})"
-        said = " or ".join(f"contains(t, {_quoted(c.lower())})" for c in rule.context)
+        tokens = f"split(lower(regexp_replace(substring(substring({column}, 1, m.start), -120, 120), {text.quoted(r'(?U)^[\s,;()]+|[\s,;()]+$')}, '')), {text.quoted(r'(?U)[\s,;()]+')})"
+        said = " or ".join(f"contains(t, {text.quoted(c.lower())})" for c in rule.context)
         score = f"if(exists(slice(reverse({tokens}), 1, {near}), t -> {said}), {min(1.0, rule.score + boost)}D, {rule.score}D)"
-    fields = f"named_struct('start', m.start, 'end', m.`end`, 'entity_type', {_quoted(rule.entity)}, 'value', m.value, 'score', {score}, 'source', {_quoted(rule.source)}, 'validated', cast(null as boolean))"
-    there = [f"contains({column}, {_quoted(rule.needs)})"] if rule.needs else []
-    there += [f"{column} rlike {_quoted(cheap)}"] if (cheap := presence(rule)) else []
-    there.append(f"{column} rlike {_quoted(pattern)}")
+    fields = f"named_struct('start', m.start, 'end', m.`end`, 'entity_type', {text.quoted(rule.entity)}, 'value', m.value, 'score', {score}, 'source', {text.quoted(rule.source)}, 'validated', cast(null as boolean))"
+    there = [f"contains({column}, {text.quoted(rule.needs)})"] if rule.needs else []
+    there += [f"{column} rlike {text.quoted(cheap)}"] if (cheap := presence(rule)) else []
+    there.append(f"{column} rlike {text.quoted(pattern)}")
     return f"case when {' and '.join(there)} then transform({places}, m -> {fields}) else cast(array() as {FINDINGS}) end"
 
 
@@ -124,15 +119,16 @@ def trim(f: Column) -> Column:
     return changed(f, start=f["start"] + F.length(f["value"]) - F.length(bare), value=bare)
 
 
-def confirm(f: Column, given_names: Iterable[str] = (), products: Iterable[str] = ()) -> Column:
-    """Sources of names that a list confirms."""
-    source = f["source"]
-    given, known = sorted(set(given_names)), sorted(set(products))
-    if known:
-        source = F.when(f["entity_type"].isin(*taxonomy.NER_ENTITIES) & text.key(f["value"]).isin(*known), PRODUCT).otherwise(source)
-    if given:
-        source = F.when((f["entity_type"] == "PERSON") & text.first_token(f["value"]).isin(*given), GIVEN_NAME).otherwise(source)
-    return changed(f, source=source)
+def confirmed(found: str, given_names: Iterable[str] = (), products: Iterable[str] = ()) -> Column:
+    """Findings with the sources of names that a list confirms. found: the name of a column."""
+    given, known = tuple(given_names), tuple(products)
+    if not given and not known:
+        return F.col(found)
+    names = ", ".join(map(text.quoted, taxonomy.NER_ENTITIES))
+    source = f"""case when f.entity_type = 'PERSON' and {text.listed_sql(text.first_token_sql("f.value"), given)} then {text.quoted(GIVEN_NAME)}
+      when f.entity_type in ({names}) and {text.listed_sql(text.key_sql("f.value"), known)} then {text.quoted(PRODUCT)} else f.source end"""
+    fields = f"'start', f.start, 'end', f.`end`, 'entity_type', f.entity_type, 'value', f.value, 'score', f.score, 'source', {source}, 'validated', f.validated"
+    return F.expr(f"cast(transform({found}, f -> named_struct({fields})) as {FINDINGS})")
 
 
 def settle(f: Column) -> Column:
@@ -157,7 +153,7 @@ def candidates(units: DataFrame, rules: list[Rule], allow: Iterable[str] = (), l
     for lang in languages:
         own = [scan_sql("_plain", r) for r in for_language(rules, lang) if r.languages]
         if own:  # the rules of other languages are not run
-            told.append(f"case when lang = {_quoted(lang)} then concat({', '.join(own)}) else cast(array() as {FINDINGS}) end")
+            told.append(f"case when lang = {text.quoted(lang)} then concat({', '.join(own)}) else cast(array() as {FINDINGS}) end")
     parts = [F.expr(f"cast(concat({', '.join(told)}) as {FINDINGS})")] if told else [none()]
     if extra is not None:
         parts.append(F.coalesce(extra, none()))
@@ -168,7 +164,8 @@ def candidates(units: DataFrame, rules: list[Rule], allow: Iterable[str] = (), l
     out = out.withColumn("found", drop_same_type(F.col("found")))
     if allowed:
         out = out.withColumn("found", F.filter("found", lambda f: ~text.key(f["value"]).isin(*allowed)))
-    out = out.withColumn("found", F.transform("found", lambda f: confirm(trim(f), given_names, products)))
+    out = out.withColumn("found", F.transform("found", trim))
+    out = out.withColumn("found", confirmed("found", given_names, products))
     veto = None if tags is None else pos_veto(F.col(tags))
     out = out.withColumn("found", F.filter("found", lambda f: (F.length(f["value"]) > 0) & ~gate(f, stopwords, vetoed=veto)))
     out = out.withColumn("found", F.transform("found", settle))

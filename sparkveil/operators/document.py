@@ -159,7 +159,7 @@ def people_columns(cells: DataFrame, given_names: Iterable[str], categories: dic
     own = own.select("doc_id", "sheet", "col", "row", value.alias("v")).where("v <> ''")
     if rows is not None:
         own = own.where(F.col("row") <= rows + 1)
-    shape, hit = text.looks_like_name(F.col("v")), text.first_token(F.col("v")).isin(*given) if given else F.lit(False)
+    shape, hit = text.looks_like_name(F.col("v")), F.expr(text.listed_sql(text.first_token_sql("v"), given))
     facts = own.groupBy("doc_id", "sheet", "col").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("d"), F.sum(shape.cast("int")).alias("names"), F.sum((shape & hit).cast("int")).alias("hits")
     )

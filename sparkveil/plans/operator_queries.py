@@ -257,8 +257,8 @@ def d_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n")
     value = F.when(n % 4 == 0, F.concat(F.lit("Anna "), _name(n))).when(n % 4 == 1, F.concat(F.lit("Herr Bernd "), _name(n))).when(n % 4 == 2, F.lit(" Kondor ")).otherwise(_name(n))
     kind = evaluate.pick(("PERSON", "LOCATION", "IBAN_CODE"), F.floor(n / 4))
-    f = detect.confirm(_finding(0, F.length(value), kind, value, 0.5, "model"), ("anna", "bernd"), ("kondor",))
-    return _customers(spark, sf_dir).select("n", f["source"].alias("source"))
+    rows = _customers(spark, sf_dir).select("n", F.array(_finding(0, F.length(value), kind, value, 0.5, "model")).alias("found"))
+    return rows.select("n", F.explode(detect.confirmed("found", ("anna", "bernd"), ("kondor",))).alias("f")).select("n", F.col("f.source").alias("source"))
 
 
 D_CONFIRMED = """

@@ -259,3 +259,20 @@ def test_sealed_lists(spark, tmp_path):
     assert cfg.config_hash(cfg.load_sealed(spark, f"{tmp_path}/c.json", "k" * 16)) == cfg.config_hash(config)
     with pytest.raises(ValueError, match="does not fit"):
         cfg.load_sealed(spark, f"{tmp_path}/c.json", "x" * 16)
+
+
+def test_long_lists(spark):
+    import time
+
+    names = [f"name{k}" for k in range(50_000)] + ["anna", "o'neil", "back\\slash"]
+    units = spark.createDataFrame([("Kunde: Anna Koch", "de"), ("Kunde: Bernd Koch", "de")], "text string, lang string")
+    began = time.time()
+    found = detect.candidates(units, [r for r in detect_rules() if r.entity == "PERSON"], given_names=names, products=names)
+    got = {r["found"][0]["value"]: r["found"][0]["source"] for r in found.collect()}
+    assert got == {"Anna Koch": detect.GIVEN_NAME, "Bernd Koch": "AnchoredNameRecognizer"} and time.time() - began < 60
+
+
+def detect_rules():
+    from sparkveil.functions.rules import default_rules
+
+    return default_rules()
