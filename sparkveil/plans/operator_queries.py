@@ -233,6 +233,49 @@ A_CSV = """
 select 'file' as doc_id, 'c_name' as header, 'A' as col, c_name as text, 'cell' as kind from customer union all
 select 'file', 'Nummer', 'B', c_custkey::varchar, 'cell' from customer union all select 'file', 'c_mktsegment', 'C', c_mktsegment, 'cell' from customer"""
 
+def a_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a document's properties say before and after they were scrubbed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for n, name in zip(batch["n"], batch["v"], strict=True):
+                core = f'<cp:coreProperties xmlns:cp="urn:c" xmlns:dc="urn:d"><dc:creator>{name}</dc:creator><dc:title>Akte {n}</dc:title><cp:revision>{n}</cp:revision></cp:coreProperties>'
+                data = _package({"word/document.xml": f"<w:document {_W}><w:body><w:p><w:r><w:t>{name}</w:t></w:r></w:p></w:body></w:document>", "docProps/core.xml": core, "docProps/custom.xml": f"<Properties xmlns='urn:p'><property name='Kunde'>{name}</property></Properties>"})
+                rows += [(n, k, ooxml_write.text_of(d).count(name), ooxml_write.text_of(d).count(f"Akte {n}")) for k, d in enumerate((data, ooxml.metadata_free(data)))]
+            yield pd.DataFrame(rows, columns=["n", "scrubbed", "names", "titles"])
+
+    n = F.col("n_nationkey")
+    return _read(spark, sf_dir, "nation").select(n.cast("long").alias("n"), _name(n).alias("v")).mapInPandas(run, "n long, scrubbed int, names int, titles int")
+
+
+# in the text a name stands twice: as a paragraph and as its run
+A_METADATA = "select n_nationkey as n, k as scrubbed, case when k = 0 then 4 else 2 end as names, 1 - k as titles from nation, (values (0), (1)) v(k)"
+
+
+def a_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs written to a staging folder: they get a free name once a check has read them, and leave nothing if it fails."""
+    base = _folder(spark)
+    rows = _customers(spark, sf_dir)
+
+    def refuse(written: DataFrame) -> None:
+        raise verify.ResidualError(f"{written.count()} rows")
+
+    names = []
+    for check in (lambda w: None, refuse, lambda w: verify.demand_clean(w.where("n < 0")), lambda w: verify.demand_clean(w)):
+        try:
+            names.append(tables.publish(rows, f"{base}/out", check).rpartition("/")[2])
+        except verify.ResidualError:
+            names.append("refused")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    there = sorted(f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+    told = spark.createDataFrame([(k, n, ",".join(there)) for k, n in enumerate(names)], "attempt int, name string, there string")
+    kept = spark.read.parquet(f"{base}/out (2)").agg(F.count(F.lit(1)).alias("n"))
+    return told.join(F.broadcast(kept))
+
+
+A_PUBLISHED = "select attempt, name, 'out,out (2)' as there, (select count(*) from customer) as n from (values (0, 'out'), (1, 'refused'), (2, 'out (2)'), (3, 'refused')) v(attempt, name)"
+
 # --- D: predicates of findings ----------------------------------------------------------------------------------------
 
 _LEADS = ("", "- ", "Herr ", '"Dr. ', "• Frau ")
@@ -328,6 +371,27 @@ c as (select sheet, sum(len(list_filter(w, lambda x: list_contains({_sql_list(te
 select 'd' as doc_id, sheet, case when de + least(um, f - 1) >= en then 'de' else 'en' end as lang from c"""
 
 
+def e_sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first guess at the language of a source's texts; German and unsure where it cannot be told."""
+    from .scan import sniff_language
+
+    docs = _read(spark, sf_dir, "documents")
+    told = [(lang, *sniff_language(docs.where(F.col("lang") == lang))) for lang in ("de", "en", "none")]
+    told.append(("no text", *sniff_language(docs.select("doc_id"))))
+    return spark.createDataFrame(told, "source string, lang string, confident boolean")
+
+
+def _sniffed_sql() -> str:
+    return f"""
+with t as (select v.lang source, text from (values ('de'), ('en'), ('none')) v(lang) left join documents d on d.lang = v.lang),
+w as (select source, regexp_extract_all(lower(coalesce(text, '')), '[a-zäöüß]+') w from t),
+c as (select source, sum(len(list_filter(w, lambda x: list_contains({_sql_list(text.GERMAN)}, x)))) de, sum(len(list_filter(w, lambda x: list_contains({_sql_list(text.ENGLISH)}, x)))) en,
+  sum(len(list_filter(w, lambda x: regexp_matches(x, '[äöüß]')))) um, case when sum(len(w)) <= {text.SHORT_WORDS} then {text.FLOOR_SHORT} else {text.FLOOR} end f from w group by source),
+s as (select source, de + least(um, f - 1) de, en, f from c),
+r as (select *, greatest(de, en) >= f and greatest(de, en) >= greatest(1, least(de, en)) * {text.MARGIN} as sure from s)
+select source, case when sure and en > de then 'en' else 'de' end as lang, sure as confident from r union all select 'no text', 'de', false"""
+
+
 def f_topical_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of topical columns that are looked for elsewhere."""
     n = F.col("n")
@@ -689,12 +753,15 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "a_page_policy": (a_page_policy, A_PAGES),
     "a_written_tables": (a_written_tables, A_WRITTEN),
     "a_csv_units": (a_csv_units, A_CSV),
+    "a_metadata": (a_metadata, A_METADATA),
+    "a_published": (a_published, A_PUBLISHED),
     "d_trim": (d_trim, D_TRIM),
     "d_confirmed": (d_confirmed, D_CONFIRMED),
     "d_worth_asking": (d_worth_asking, D_ASKED),
     "d_title_findings": (d_title_findings, D_TITLES),
     "d_tagger_veto": (d_tagger_veto, D_TAGGER),
     "e_sheet_languages": (e_sheet_languages, E_SHEETS),
+    "e_sniffed": (e_sniffed, _sniffed_sql()),
     "f_topical_seeds": (f_topical_seeds, F_SEEDS),
     "g_review_stats": (g_review_stats, G_STATS),
     "g_review_order": (_in_order(review.in_order, "not demoted"), _in_order_sql("class_at, max_score desc, entity_type, value_key", "not demoted")),
