@@ -21,40 +21,42 @@ STRATA = {
 }
 #: Contexts: what stands before and after the name, with {g} for the given name; whether the name is written otherwise.
 CONTEXTS = {
-    "salutation": ("Sehr geehrte Frau ", ", vielen Dank.", None),
-    "full_name": ("{g} ", " hat zugestimmt.", None),
-    "oblique": ("Das Gutachten hat ", " geprüft.", None),
-    "label": ("Kunde: ", "", None),
+    "salutation": ("Guten Tag, Frau ", ", wir haben Post für Sie.", None),
+    "full_name": ("{g} ", " ruft morgen wieder an.", None),
+    "oblique": ("Das Gutachten hat ", " selbst gelesen.", None),
+    "label": ("Ansprechpartner: ", "", None),
     "bare": ("", "", None),
-    "signature": ("Mit freundlichen Grüßen, Herr {g} ", "", None),
-    "initial": ("Gezeichnet: {i}. ", ", heute", None),
-    "role": ("Der Einreicher ", " bestätigt es.", None),
-    "list": ("Verteiler: Einkauf, ", ", Vertrieb", None),
-    "birth_name": ("Die Kundin, geb. ", ", zog um.", None),
-    "preposition": ("Nach einem Gespräch mit ", " erledigt.", None),
+    "signature": ("Viele Grüße, Herr {g} ", "", None),
+    "initial": ("gez. {i}. ", ", am Montag", None),
+    "role": ("Der Notar ", " ist verreist.", None),
+    "list": ("An: Einkauf, ", ", Lager", None),
+    "birth_name": ("Sie heißt heute anders, geb. ", ", und wohnt in Ulm.", None),
+    "preposition": ("Das klären wir gemeinsam mit ", " im Mai.", None),
     "bare_upper": ("", "", "upper"),
     "bare_lower": ("", "", "lower"),
-    "label_upper": ("KUNDE: ", "", "upper"),
-    "file_name": ("AKTE_", "_2024", None),
-    "path": ("/daten/Vertrag_", "_final.docx", None),
+    "label_upper": ("ANSPRECHPARTNER: ", "", "upper"),
+    "file_name": ("Ordner_", "_alt", None),
+    "path": ("/ablage/Rechnung_", "_3.xlsx", None),
 }
 #: Contexts whose words alone give the name away.
 ANCHORED = ("salutation", "label", "signature", "initial", "role", "birth_name", "label_upper")
-#: Facts of special categories: entity type, what must go, and the sentence around it. The last ones name nothing that any list of a rule holds.
+#: Facts of special categories: entity type, what must go, and the sentence around it. The last ones name nothing that any list of a rule holds;
+#: in the inverted one the words of a frame do not stand together, and no rule finds it.
 SPECIAL_PROBES = {
-    "health_aid": ("DE_HEALTH_DATA", "Rollstuhl", "Sie ist seither auf den {v} angewiesen."),
-    "health_therapy": ("DE_HEALTH_DATA", "Chemotherapie", "Wegen der {v} kommt er später."),
-    "religion_place": ("DE_RELIGION", "Synagoge", "Er geht freitags in die {v} am Markt."),
-    "religion_feast": ("DE_RELIGION", "Ramadan", "Im {v} kommt sie abends."),
-    "union_body": ("DE_UNION_PARTY", "Betriebsrat", "Er sitzt im {v} des Werks."),
-    "party": ("DE_UNION_PARTY", "SPD", "Sie tritt für die {v} an."),
-    "partner": ("DE_SEX_LIFE", "ihrer Ehefrau", "Sie kommt mit {v} zum Termin."),
-    "origin": ("NRP", "Spätaussiedler", "Die Familie kam als {v} hierher."),
-    "held_out_illness": ("DE_HEALTH_DATA", "Zöliakie", "Der Kunde leidet an {v}."),
-    "held_out_state": ("DE_HEALTH_DATA", "Kniespiegelung", "Er ist krankgeschrieben wegen einer {v}."),
-    "held_out_faith": ("DE_RELIGION", "Taoismus", "Er konvertierte im Jahr 2018 zum {v}."),
-    "held_out_body": ("DE_UNION_PARTY", "Wirtschaftsausschuss", "Sie wurde in den {v} gewählt."),
-    "held_out_descent": ("NRP", "usbekischstämmig", "Die Familie ist {v} und lebt hier."),
+    "aid": ("DE_HEALTH_DATA", "Rollstuhl", "Für den {v} fehlt am Eingang eine Rampe."),
+    "therapy": ("DE_HEALTH_DATA", "Dialyse", "Montags ist sie bei der {v} und nicht im Büro."),
+    "place": ("DE_RELIGION", "Synagoge", "Das Fest war in der {v} am Markt."),
+    "feast": ("DE_RELIGION", "Pessach", "An {v} bleibt der Laden zu."),
+    "body": ("DE_UNION_PARTY", "Personalrat", "Der {v} hat am Freitag zugestimmt."),
+    "party": ("DE_UNION_PARTY", "SPD", "Sie tritt im Herbst für die {v} an."),
+    "partner": ("DE_SEX_LIFE", "ihrer Partnerin", "Sie kam mit {v} zum Gespräch."),
+    "origin": ("NRP", "Aussiedler", "Als {v} kamen die Eltern nach Kassel."),
+    "unlisted_illness": ("DE_HEALTH_DATA", "Zöliakie", "Der Arzt meint, dass er erkrankt an {v}."),
+    "inverted_illness": ("DE_HEALTH_DATA", "Zöliakie", "Seit Jahren litt sie unter einer {v}."),
+    "unlisted_state": ("DE_HEALTH_DATA", "Schulterluxation", "Im April war er arbeitsunfähig wegen einer {v}."),
+    "unlisted_faith": ("DE_RELIGION", "Taoismus", "Schon lange ist sie übergetreten zum {v}."),
+    "unlisted_body": ("DE_UNION_PARTY", "Vertreterversammlung", "Man hat ihn in die {v} berufen."),
+    "unlisted_descent": ("NRP", "usbekischstämmig", "Sie ist {v} und wohnt in Ulm."),
 }
 
 
