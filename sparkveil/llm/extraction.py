@@ -129,10 +129,10 @@ SELF_CLOSING = frozenset("math svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that name boilerplate.
 BOILER_NAMES = frozenset(
-    "ad ads advert advertisement advertising advertorial banner breadcrumb breadcrumbs comment commentary comments consent contentinfo cookie cookies "
-    "copyright disqus footer form gdpr header login masthead menu modal nav navbar navigation navigationbar newsletter notice notices overlay paging pagination "
-    "popup promo promoted promotion recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe "
-    "subscription tagcloud teaser toc toolbar tooltip topbar widget".split()
+    "ad ads advert advertisement advertising advertorial banner breadcrumb breadcrumbs comment commentary comments complementary consent contentinfo cookie cookies "
+    "copyright disclaimer disqus feedback footer form gdpr header login masthead menu modal nav navbar navigation navigationbar newsletter notice notices outbrain overlay paging pagination "
+    "popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
+    "subscription taboola tagcloud teaser toc toolbar tooltip topbar widget".split()
 )
 
 #: Attributes: a quote opens a value only behind "=". No ">" at the end: none follows outside quotes.
