@@ -78,17 +78,18 @@ def propagated(units: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, unit_id, found: where the seeds of a document stand in its units.
 
     Words are joined to the first words of seeds, and only then are the whole seed and its ends compared: an equi-join in
-    place of an expression for each document.
+    place of an expression for each document. Both sides grow with the input, and the planner takes words and units for as small
+    as the file that they were read from, so the joins are told to sort: a broadcast of either does not fit the driver.
     """
     led = known.withColumn("first", F.regexp_extract("seed", r"[\p{L}\p{N}]+", 0)).withColumn("lead", F.position(F.col("first"), F.col("seed")) - 1).where("first <> ''")
-    here = _words(units.join(led.select("doc_id").distinct(), "doc_id", "left_semi"))
-    joined = here.join(led, (here["doc_id"] == led["doc_id"]) & (here["w"]["value"] == led["first"])).drop(led["doc_id"])
+    here = _words(units.join(led.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
+    joined = here.join(led.hint("merge"), (here["doc_id"] == led["doc_id"]) & (here["w"]["value"] == led["first"])).drop(led["doc_id"])
     start = F.col("w.start") - F.col("lead")
     end = start + F.length("seed")
     # the text comes back once for each unit that has a word of a seed, and not with every word
     hits = joined.select("doc_id", "unit_id", F.struct("entity_type", "seed", start.alias("start"), end.alias("end")).alias("h")).where("h.start >= 0")
     hits = hits.groupBy("doc_id", "unit_id").agg(F.collect_set("h").alias("h"))
-    told = units.select("doc_id", "unit_id", "text").join(hits, ["doc_id", "unit_id"])
+    told = units.select("doc_id", "unit_id", "text").join(hits.hint("merge"), ["doc_id", "unit_id"])
     placed = told.select("doc_id", "unit_id", "text", F.explode("h").alias("h")).select("doc_id", "unit_id", "text", "h.*").where(F.expr("substring(text, start + 1, length(seed))") == F.col("seed"))
     before = F.expr("if(start > 0, substring(text, start, 1), '')")
     after = F.expr("substring(text, `end` + 1, 1)")
