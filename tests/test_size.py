@@ -58,3 +58,16 @@ def test_column_summary_query_beyond_ten_thousand_customers(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     got = {r["col"]: (r["sample"], r["pii_count"]) for r in queries.g_column_summary(spark, str(tmp_path)).collect()}
     assert got["A"] == (None, 0) and got["D"] == ("BUILDING", 0) and got["E"] == ("Customer#1", 0) and got["B"][1] == 5 and got["C"][1] == 2
+
+
+def test_people_repeat_in_a_long_column(spark):
+    """Distinct among themselves in 500 rows, though not in all; a thinly filled column of one name is no list of people."""
+    people = lambda k: f"{('Anna', 'Bernd', 'Clara', 'Dieter')[k % 4]} Koch{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}"
+    cells = [("d", "s", "A", k + 2, "Spalte", people(k % 600)) for k in range(3000)]
+    cells += [("d", "s", "B", k + 2, "Spalte", people(k % 30)) for k in range(3000)]
+    cells += [("d", "s", "C", 900 * k + 2, "Spalte", "Anna Koch") for k in range(20)]
+    cells += [("d", "s", "D", 900 * k + 2, "Spalte", people(k)) for k in range(20)]
+    cells += [("d", "s", "E", k + 2, "Spalte", people(k // 2)) for k in range(10)] + [("d", "s", "F", k + 2, "Spalte", people(k // 3)) for k in range(9)]
+    cells += [("d", "s", "G", None, "Spalte", people(k)) for k in range(9)] + [("d", "s", "H", None, "Spalte", people(k // 3)) for k in range(9)]
+    frame = spark.createDataFrame(cells, "doc_id string, sheet string, col string, row long, header string, text string")
+    assert {r["col"] for r in document.people_columns(frame, ("Anna", "Bernd")).collect()} == {"A", "D", "E", "G"}
