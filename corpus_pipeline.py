@@ -22,7 +22,7 @@ def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates: 5-word shingle sets with a similarity of 0.8 or more.
 
-    A SimHash fingerprint can't find these whole (see the README); candidates come from MinHash, and the sets decide.
+    Candidates are op1's links of SimHash fingerprints and, as these can't be all (see the README), MinHash's; the sets decide.
     """
     return similar.keep_one(docs)
 

@@ -70,6 +70,14 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> list[int]:
     """The words of a text's fingerprint, unsigned."""
     hashes = shingle_hashes(text, shingle)
@@ -77,10 +85,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> lis
         return [0] * words
     out = []
     for _ in range(words):
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), 4096):
-            ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]))
+        out.append(majority(hashes))
         hashes = _further(hashes)
     return out
 

@@ -1,9 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: candidates by MinHash, each decided on the whole sets.
+"""Near-duplicates by the Jaccard similarity of word shingles: candidates by SimHash and MinHash, each decided on the whole sets.
 
 Two texts are linked if their sets of 5-word shingles have a similarity of 0.8 or more; groups are the connected components of
 these links. Texts with equal sets are one node.
 
-Candidates share the least values of 5 hashes in one of 40 bands, which a pair with a similarity of exactly 0.8 does in none with
+Candidates are what op1's method links, SimHash fingerprints of the same shingles (with repeats) that differ in 4 bits or fewer, and
+what MinHash adds to it, since at 0.8 only some 3 % of pairs are that near: these share the least values of 5 hashes in one of 40 bands, which a pair with a similarity of exactly 0.8 does in none with
 a probability of 1.2e-7, and differ in 56 of 256 sketch bits at most, one for each of 256 hashes: such a pair differs in 26 on
 average, with a deviation of 4.8. Components of candidates are brought together with their texts, and their links are found again
 on the sets themselves, between all members, so candidates never decide. A component with more than `block` shingles, and a
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
-from .simhash import CROWD, Plan, in_blocks, linked, shingle_hashes
+from .simhash import CROWD, Plan, in_blocks, link, linked, majority, shingle_hashes
 
 SHINGLE = 5
 #: A similarity of 4 / 5, compared in whole numbers.
@@ -56,9 +57,11 @@ def least_hashes(own: np.ndarray) -> np.ndarray:
 
 def _mark_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        node, sizes, marks, keys = [], [], np.zeros((batch.num_rows, WORDS), np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
+        node, sizes, prints, marks, keys = [], [], [], np.zeros((batch.num_rows, WORDS), np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
         for k, text in enumerate(batch.column(2)):
-            own = shingles(text.as_py(), shingle)
+            hashes = shingle_hashes(text.as_py(), shingle)
+            own = np.unique(hashes)
+            prints.append(majority(hashes))
             node.append(xxhash.xxh3_64_intdigest(own.tobytes()))
             sizes.append(len(own))
             if len(own):
@@ -66,8 +69,8 @@ def _mark_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
                 marks[k] = np.packbits((least >> np.uint32(8)).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
                 keys[k] = (least[: BANDS * ROWS].reshape(BANDS, ROWS) * _BAND_FACTORS).sum(axis=1, dtype=np.uint64)
         listed = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * np.int32(BANDS)), pa.array(keys.ravel().view(np.int64)))
-        shown = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *[pa.array(np.ascontiguousarray(m).view(np.int64)) for m in marks.T], listed]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *shown], names=["doc_id", "_text", "node", "n", *_NAMES, "keys"])
+        shown = [*[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, prints)], pa.array(sizes, pa.int64()), *[pa.array(np.ascontiguousarray(m).view(np.int64)) for m in marks.T], listed]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *shown], names=["doc_id", "_text", "node", "print", "n", *_NAMES, "keys"])
 
 
 def similar(a: int, b: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -130,17 +133,29 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator
     yield settle()
 
 
+def near_prints(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """u, v: edges that tie together the nodes (node, print) whose fingerprints op1's method links, equal ones too."""
+    one = cut(nodes.groupBy("print").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("many")))
+    equal = nodes.join(one.where("many > 1"), "print").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    return equal.unionByName(link(one.select(F.col("least").alias("node"), F.col("print").alias("m0")), crowd=crowd))
+
+
+def candidates(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """u, v: edges that tie together the nodes (node, print, m0, ..., keys) that may be similar."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", *_NAMES)
+    more = linked(nodes.select("node", *_NAMES), keyed, Plan(64, WORDS, APART, crowd, 63, ()))
+    return near_prints(nodes.select("node", "print"), crowd).unionByName(more)
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """doc_id, _text (a hash of the text), root (the same for all rows of a component) of every row."""
     text = F.xxhash64("text")
-    fields = "doc_id long, _text long, node long, n long, " + ", ".join(f"{m} long" for m in _NAMES) + ", keys array<long>"
+    fields = "doc_id long, _text long, node long, print long, n long, " + ", ".join(f"{m} long" for m in _NAMES) + ", keys array<long>"
     marked = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), "text").mapInArrow(partial(_mark_batches, shingle=shingle), fields))
     # what a node's rows have in common, and one of them, gathered before anything is moved
-    same = [F.first(c).alias(c) for c in ("n", *_NAMES, "keys")]
+    same = [F.min("print").alias("print"), *[F.first(c).alias(c) for c in ("n", *_NAMES, "keys")]]
     nodes = cut(marked.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "_text")).alias("one"), *same))
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", *_NAMES)
-    plan = Plan(64, WORDS, APART, crowd, 63, ())
-    found = components(linked(nodes.select("node", *_NAMES), keyed, plan))
+    found = components(candidates(nodes, crowd))
     # each node of a component of candidates with one of its texts
     found = cut(found.join(nodes.select("node", "n", "one"), "node"))
     large = cut(found.groupBy("root").agg(F.sum("n").alias("size")).where(F.col("size") > block).select("root"))
